@@ -13,9 +13,9 @@ TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "nin
 SCALES = {"thousand": 1_000, "lakh": 100_000, "lac": 100_000, "crore": 10_000_000}
 FILLER = ("rupees", "rupee", "rs", "inr", "indian", "only", "of")
 
-_VALUES = {w: n for n, w in enumerate(ONES)} | {w: 20 + 10 * n for n, w in enumerate(TENS)}
-_VALUES["fourty"] = 40
-_SCALES = {k + s: v for k, v in SCALES.items() for s in ("", "s")}
+VALUES = {w: n for n, w in enumerate(ONES)} | {w: 20 + 10 * n for n, w in enumerate(TENS)}
+VALUES["fourty"] = 40
+SCALE_WORDS = {k + s: v for k, v in SCALES.items() for s in ("", "s")}
 
 
 def _map(d: dict[str, int]) -> Column:
@@ -33,7 +33,7 @@ def _number(words: Column) -> Column:
     dec = "decimal(20,0)"
 
     def step(acc: Column, w: Column) -> Column:
-        unit, scale = F.try_element_at(_map(_VALUES), w), F.try_element_at(_map(_SCALES), w)
+        unit, scale = F.try_element_at(_map(VALUES), w), F.try_element_at(_map(SCALE_WORDS), w)
         group = F.when(acc["group"] == 0, F.lit(1).cast(dec)).otherwise(acc["group"])
         crore = w.startswith("crore")
         closed = F.when(crore, (acc["closed"] + acc["group"]) * scale).otherwise(

@@ -284,6 +284,18 @@ TABLES["po_header"] = (
 )
 
 TABLES |= {
+    # Dates as eight printers would set them; two of the eight are refused on purpose.
+    "printed_date": f"""
+        SELECT doc_id, po_date, CASE doc_id % 8
+            WHEN 0 THEN CAST(po_date AS STRING)
+            WHEN 1 THEN {pad('day(po_date)', 2)} || '/' || {text('month(po_date)')} || '/' || {text('year(po_date)')}
+            WHEN 2 THEN {text('day(po_date)')} || '.' || {pad('month(po_date)', 2)} || '.' || {pad('year(po_date) % 100', 2)}
+            WHEN 3 THEN ' ' || {text('day(po_date)')} || '  {{M}} , ' || {text('year(po_date)')}
+            WHEN 4 THEN {text('day(po_date)')} || 'th-{{M}}-' || {text('year(po_date)')}
+            WHEN 5 THEN '{{M}} ' || {pad('day(po_date)', 2)} || ', ' || {text('year(po_date)')}
+            WHEN 6 THEN {text('month(po_date)')} || '/' || {text('day(po_date)')} || '/' || {text('year(po_date)')}
+            ELSE '31-02-' || {text('year(po_date)')} END AS printed
+        FROM po_party""".replace("{M}", "' || split_part('Jan Feb Mar Apr May Jun Jul Aug Sept Oct Nov Dec', ' ', CAST(month(po_date) AS INT)) || '"),
     "header_error": """
         SELECT o_orderkey AS doc_id, 'delivery_date' AS field, 'unrecognised date format' AS error
         FROM orders WHERE o_orderkey % 53 = 0""",
