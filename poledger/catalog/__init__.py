@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("clean", "pages")
+MODULES = ("clean", "pages", "rules")
 
 
 def load():

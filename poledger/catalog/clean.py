@@ -83,9 +83,7 @@ _NUMBERS = "map([" + duck.quoted(words.VALUES) + "], [" + ", ".join(map(str, wor
 _SCALES = "map([" + duck.quoted(words.SCALE_WORDS) + "], [" + ", ".join(map(str, words.SCALE_WORDS.values())) + "])"
 
 
-@query(
-    "words_to_amount",
-    f"""SELECT doc_id, CASE WHEN s.bad = 0 THEN CAST(s.c + s.g AS DOUBLE) END AS amount,
+WORDS_SQL = f"""SELECT doc_id, CASE WHEN s.bad = 0 THEN CAST(s.c + s.g AS DOUBLE) END AS amount,
                CASE WHEN s.bad > 0 THEN 'not a number word' END AS problem
         FROM (SELECT doc_id, list_reduce(list_transform(list_filter(
                  string_split(trim(regexp_replace(lower(amount_in_words), '[^a-z]+', ' ', 'g')), ' '),
@@ -99,8 +97,10 @@ _SCALES = "map([" + duck.quoted(words.SCALE_WORDS) + "], [" + ", ".join(map(str,
                       WHEN b.m > 0 THEN 0 WHEN b.n >= 0 THEN a.g + b.n ELSE a.g END,
                  'bad': a.bad + CASE WHEN b.n < 0 AND b.m < 0 AND b.w <> 'hundred' THEN 1 ELSE 0 END}},
                {{'w': '', 'n': 0, 'm': 0, 'c': 0::BIGINT, 'g': 0::BIGINT, 'bad': 0}}) AS s
-              FROM po_header WHERE amount_in_words IS NOT NULL) x""",
-)
+              FROM po_header WHERE amount_in_words IS NOT NULL) x"""
+
+
+@query("words_to_amount", WORDS_SQL)
 def words_to_amount(t):
     return clean.words_to_amount(t("po_header")).withColumn("amount", F.col("amount").cast("double"))
 
