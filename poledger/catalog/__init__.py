@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("clean", "pages", "rules")
+MODULES = ("clean", "pages", "rules", "scoring")
 
 
 def load():

@@ -521,7 +521,7 @@ def with_clause(sql: str, extra: dict[str, str] | None = None) -> str:
     body = sql + " " + " ".join(extra.values())
     chain = closure(_WORD.findall(body))
     parts = [f"{n} AS ({TABLES[n]})" for n in chain]
-    parts += [f"{n} AS ({q})" for n, q in extra.items()]
+    parts += [f"{n} AS MATERIALIZED ({q})" for n, q in extra.items()]
     out = ("WITH " + ", ".join(parts) + " " if parts else "") + sql
     return _WITHIN.sub(r" ORDER BY \1)", out)
 
