@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("clean", "pages", "rules", "scoring")
+MODULES = ("clean", "pages", "rules", "scoring", "ingest", "routing")
 
 
 def load():

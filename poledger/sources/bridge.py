@@ -475,6 +475,13 @@ TABLES |= {
                CASE WHEN doc_id % 10 = 0 THEN 'not json' ELSE content END,
                'looked again', 'stop', doc_id % 900, doc_id % 90, CAST(NULL AS STRING)
         FROM line_answer WHERE doc_id % 5 = 0""",
+    # When each call of a document was queued, sent and answered.
+    "call_times": """
+        SELECT user_id AS doc_id, event_id AS call_id, ts AS queued_at,
+               lead(ts, 1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sent_at,
+               lead(ts, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS done_at,
+               min(ts) OVER (PARTITION BY user_id) AS doc_start
+        FROM events""",
     # Service log. Jobs are users; each event type is a step of the lifecycle.
     "job_events": """
         SELECT user_id AS job_id, event_id, ts, value,
