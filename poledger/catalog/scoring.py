@@ -132,7 +132,8 @@ def critical_docs(t):
 
 @query("error_list", 'SELECT doc_id, field, outcome, "row", truth, pred FROM errs', V)
 def error_list(t):
-    return run(t).errors
+    s = run(t)
+    return scoring.errors(s.header, s.cells, s.rows)
 
 
 _FIELD_TALLY = """

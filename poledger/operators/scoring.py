@@ -50,15 +50,22 @@ def _side(df: DataFrame, names: list[str], prefix: str, keys: list[str]) -> Data
 
 
 def with_outcome(pairs: DataFrame) -> DataFrame:
-    """(.., ftype, truth, pred) -> adds t, p (comparable forms) and outcome."""
-    t, p = F.col("t"), F.col("p")
-    return pairs.withColumns({
-        "t": normalise(F.col("ftype"), F.col("truth")), "p": normalise(F.col("ftype"), F.col("pred")),
-    }).withColumn(
-        "outcome",
-        F.when(t.isNull() & p.isNull(), "correct_absent").when(p.isNull(), "missed")
-        .when(t.isNull(), "hallucinated").when(t == p, "correct").otherwise("wrong"),
+    """(.., ftype, truth, pred) -> adds t, p (comparable forms) and outcome.
+
+    Equal raw texts with a letter or digit are equal in any comparable form, so only the rest
+    is normalised; t and p themselves cost nothing unless a later step reads them.
+    """
+    t, p = normalise(F.col("ftype"), F.col("truth")), normalise(F.col("ftype"), F.col("pred"))
+    alike = (F.col("truth") == F.col("pred")) & F.col("truth").rlike(r"[\p{L}\p{N}]")
+    outcome = (
+        F.when(F.col("truth").isNull() & F.col("pred").isNull(), "correct_absent")
+        .when(alike, "correct")
+        .otherwise(
+            F.when(t.isNull() & p.isNull(), "correct_absent").when(p.isNull(), "missed")
+            .when(t.isNull(), "hallucinated").when(t == p, "correct").otherwise("wrong")
+        )
     )
+    return pairs.withColumns({"t": t, "p": p, "outcome": outcome})
 
 
 def with_fuzzy(results: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,11 @@ class RunScore:
     cells: DataFrame
     rows: DataFrame
     docs: DataFrame  # per truth document
-    errors: DataFrame
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        """The error list, written once: ranking reads it several times."""
+        return settle(scoring.errors(self.header, self.cells, self.rows), "errors")
 
 
 def score(truth: DataFrame, truth_rows: DataFrame, pred: DataFrame, pred_rows: DataFrame,
@@ -33,7 +38,7 @@ def score(truth: DataFrame, truth_rows: DataFrame, pred: DataFrame, pred_rows: D
     cells = scoring.score_cells(truth_rows, pred_rows, matches, include_computed)
     rows = scoring.unmatched(truth_rows, pred_rows, matches)
     docs = scoring.doc_scores(truth, header, cells, rows, truth_rows, pred_rows, matches)
-    return RunScore(header, matches, cells, rows, docs, scoring.errors(header, cells, rows))
+    return RunScore(header, matches, cells, rows, docs)
 
 
 def unknown_records(records: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -65,13 +70,11 @@ def oracle_run(manifest: DataFrame) -> DataFrame:
 
 def common_records(ref: DataFrame, cand: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ref and cand records of the shared documents, counts of the others)."""
-    both = ref.select("doc_id").intersect(cand.select("doc_id"))
-    only = lambda a, b, n: a.select("doc_id").exceptAll(b.select("doc_id")).agg(F.count("*").alias(n))
-    counts = (
-        both.agg(F.count("*").alias("common"))
-        .withColumn("one", F.lit(1))
-        .join(only(ref, cand, "ref_only").withColumn("one", F.lit(1)), "one")
-        .join(only(cand, ref, "cand_only").withColumn("one", F.lit(1)), "one")
-        .drop("one")
+    r = ref.select("doc_id", F.lit(True).alias("in_ref"))
+    c = cand.select("doc_id", F.lit(True).alias("in_cand"))
+    counts = r.join(c, "doc_id", "full").agg(
+        F.count_if(F.col("in_ref") & F.col("in_cand")).alias("common"),
+        F.count_if(F.col("in_cand").isNull()).alias("ref_only"),
+        F.count_if(F.col("in_ref").isNull()).alias("cand_only"),
     )
-    return ref.join(both, "doc_id", "left_semi"), cand.join(both, "doc_id", "left_semi"), counts
+    return ref.join(c, "doc_id", "left_semi"), cand.join(r, "doc_id", "left_semi"), counts
