@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("clean", "pages", "rules", "scoring", "ingest", "routing", "service", "prepare")
+MODULES = ("clean", "pages", "rules", "scoring", "ingest", "routing", "service", "prepare", "sources")
 
 
 def load():

@@ -291,3 +291,31 @@ def validation_report(t):
 def rule_failure_counts(t):
     m = merged_from(t, grounding=True)
     return rules.checks(m).filter("not passed").groupBy("rule").agg(F.count("*").alias("docs"))
+
+
+# --- exact audit of the truth tables
+@query("consistency_audit")
+def consistency_audit(t):
+    from poledger.operators import audit
+
+    return audit.consistency(t("po_header"), t("po_line")).groupBy("violation").agg(F.count("*").alias("n"))
+
+
+_LINE_AUDIT = f"""
+    SELECT doc_id, 'line: taxable value' AS violation FROM po_line WHERE taxable_value <> {_EXPECTED}
+    UNION ALL SELECT doc_id, 'quotation after PO' FROM po_header WHERE quotation_date > po_date
+    UNION ALL SELECT doc_id, 'igst_total' FROM po_header h WHERE igst_total <> coalesce((SELECT sum(coalesce(igst_amount, 0)) FROM po_line l WHERE l.doc_id = h.doc_id), 0)
+    UNION ALL SELECT h.doc_id, 'numbering' FROM po_header h JOIN (SELECT doc_id, min(line_no) AS lo, max(line_no) AS hi, count(*) AS n FROM po_line GROUP BY doc_id) s
+      ON s.doc_id = h.doc_id WHERE lo <> 1 OR hi <> n
+    UNION ALL SELECT doc_id, 'buyer: invalid GSTIN' FROM po_header WHERE NOT {duck.gstin_ok("buyer_gstin")}
+    UNION ALL SELECT doc_id, 'round_off' FROM po_header WHERE abs(coalesce(round_off, 0)) > 0.5
+    UNION ALL SELECT h.doc_id, 'no line items' FROM po_header h WHERE doc_id NOT IN (SELECT doc_id FROM po_line)"""
+_AUDITED = ("line: taxable value", "quotation after PO", "igst_total", "numbering", "buyer: invalid GSTIN", "round_off", "no line items")
+
+
+@query("consistency_audit_core", _LINE_AUDIT)
+def consistency_audit_core(t):
+    from poledger.operators import audit
+
+    found = audit.consistency(t("po_header"), t("po_line"), words=False)
+    return found.filter(F.col("violation").isin(*_AUDITED))
