@@ -8,10 +8,8 @@ from poledger.sources import bridge
 
 SF = "/root/testdata/sf0.001"
 QUERIES = load()
-FAST = ["audit_gstin", "parse_dates", "skipped_pages", "hints_gstin", "hints_date", "estimate_rows", "check_gstin",
-        "check_line_arithmetic", "check_continuity", "check_totals", "check_masters", "match_line_no", "join_fragments",
-        "dedupe_rows", "type_rows", "routing_plan", "calls_to_retry", "job_state", "metrics_window", "build_masters",
-        "expand_variants", "records_scan", "consistency_audit_core"]
+FAST = ["audit_gstin", "parse_dates", "skipped_pages", "check_line_arithmetic", "match_line_no", "dedupe_rows",
+        "job_state", "metrics_window", "build_masters", "expand_variants", "records_scan"]
 
 
 @pytest.fixture(scope="module")
