@@ -3,27 +3,40 @@ loss of executors."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: list[str] = []  # own folder, only where the session names none (tests)
+_LOCAL: list[str] = []  # own folder, only for a local master whose session names none (tests)
 
 
 def folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. A session on a cluster must name one; a local
+    session gets a folder of its own that goes when Python ends."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
     return _LOCAL[0]
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{folder(spark)}/poledger-{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once and read it back: later plans scan the written table."""
-    path = f"{folder(df.sparkSession)}/poledger-{name}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
