@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poledger.llm import chat_format, decontaminate, exact_dedup, mixing, ngram_join, sharding
+from poledger.llm import chat_format, decontaminate, exact_dedup, mixing, ngram_join, quality, sharding
 from poledger.plans.staging import settle
 
 
@@ -52,6 +52,11 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -109,6 +114,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
     "op2_decontaminate": (op2_decontaminate, OP2_SQL),
+    "op3_quality": (op3_quality, None),
     "op4_mixing": (op4_mixing, OP4_SQL),
     "op8_chat_format": (op8_chat_format, None),
     "op9_ngram_join": (op9_ngram_join, None),
