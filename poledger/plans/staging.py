@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []  # own folder, only for a local master whose session names none (tests)
+_RUNS: dict[str, str] = {}  # folder of each application
 
 
 def folder(spark: SparkSession) -> str:
@@ -31,8 +32,15 @@ def folder(spark: SparkSession) -> str:
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{folder(spark)}/poledger-{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder, which goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _RUNS:
+        _RUNS[app] = f"{folder(spark)}/poledger-{app}-{uuid.uuid4().hex}"
+        run = spark._jvm.org.apache.hadoop.fs.Path(_RUNS[app])
+        store = run.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(run)
+        store.deleteOnExit(run)
+    return f"{_RUNS[app]}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
