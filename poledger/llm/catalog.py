@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poledger.llm import chat_format, decontaminate, exact_dedup, mixing, ngram_join, quality, sharding
-from poledger.plans.staging import settle
+from poledger.llm import chat_format, decontaminate, exact_dedup, mixing, ngram_join, quality, sharding, warc
+from poledger.plans.staging import place, settle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,22 @@ FROM p
 """
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = place(spark, "warc")
+    warc.write_archive(_table(spark, sf_dir, "pages"), path)
+    index = warc.build_index(warc.scan(spark, path))
+    return warc.resolved(warc.records(warc.captures_of(index)))
+
+
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages
+), e AS (SELECT html, max(page_id) AS last FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN last > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN last > page_id THEN last END AS refers_to
+FROM p LEFT JOIN e USING (html)
+"""
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame(
@@ -116,6 +132,7 @@ QUERIES = {
     "op2_decontaminate": (op2_decontaminate, OP2_SQL),
     "op3_quality": (op3_quality, None),
     "op4_mixing": (op4_mixing, OP4_SQL),
+    "op6_warc": (op6_warc, OP6_SQL),
     "op8_chat_format": (op8_chat_format, None),
     "op9_ngram_join": (op9_ngram_join, None),
     "op10_sharding": (op10_sharding, None),
