@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poledger.llm import chat_format, decontaminate, exact_dedup, mixing, ngram_join, quality, sharding, warc
+from poledger.llm import chat_format, decontaminate, exact_dedup, licenses, line_dedup, mixing, ngram_join, quality, sharding, warc
 from poledger.plans.staging import place, settle
 
 
@@ -93,6 +93,10 @@ FROM p
 """
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = place(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
@@ -109,6 +113,37 @@ FROM p LEFT JOIN e USING (html)
 """
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"), licenses.known(spark))
+    return found.withColumn("line_licenses", F.array_join("line_licenses", ","))
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _sql_canonical(column: str) -> str:
+    out = f"regexp_replace(replace(lower(coalesce({column}, '')), chr(13), chr(10)), {_sql_text(licenses.RIGHTS)}, chr(10), 'g')"
+    out = f"trim(regexp_replace({out}, {_sql_text(licenses.MARKS)}, ' ', 'g'))"
+    for written, compared in licenses.SPELLINGS:
+        out = f"replace({out}, '{written}', '{compared}')"
+    return f"sha256({out})"
+
+
+OP7_SQL = f"""
+WITH k AS (
+  SELECT {_sql_canonical("t")} AS digest, min(id) AS license_id
+  FROM (VALUES {", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in licenses.TEXTS)}) v(id, t) GROUP BY 1
+), l AS (
+  SELECT doc_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids
+  FROM (SELECT doc_id, {_sql_canonical("line")} AS digest FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents))
+  JOIN k USING (digest) GROUP BY doc_id
+), d AS (SELECT doc_id, {_sql_canonical("text")} AS canonical_sha256 FROM documents)
+SELECT doc_id, canonical_sha256, license_id, coalesce(n, 0) AS n_license_lines, coalesce(ids, '') AS line_licenses
+FROM d LEFT JOIN k ON digest = canonical_sha256 LEFT JOIN l USING (doc_id)
+"""
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame(
@@ -132,7 +167,9 @@ QUERIES = {
     "op2_decontaminate": (op2_decontaminate, OP2_SQL),
     "op3_quality": (op3_quality, None),
     "op4_mixing": (op4_mixing, OP4_SQL),
+    "op5_line_dedup": (op5_line_dedup, None),
     "op6_warc": (op6_warc, OP6_SQL),
+    "op7_licenses": (op7_licenses, OP7_SQL),
     "op8_chat_format": (op8_chat_format, None),
     "op9_ngram_join": (op9_ngram_join, None),
     "op10_sharding": (op10_sharding, None),
