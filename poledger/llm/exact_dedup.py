@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from poledger.llm.names import fresh
 from poledger.plans.staging import settle
 
 #: A digest is frequent when it holds more than this share of all rows; 1 / SUPPORT winners at most.
@@ -63,6 +64,7 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """The documents that stay, with all their columns. Repeats of one row (same doc_id, same
     text) stay once."""
     kept = exact_groups(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    own = docs.withColumn("own_sha", digest(text))
-    stay = own.join(kept, own[doc_id].eqNullSafe(kept["kept_id"]) & (own["own_sha"] == kept["kept_sha"]), "left_semi")
-    return stay.dropDuplicates([doc_id, "own_sha"]).drop("own_sha")
+    own_sha = fresh(docs, "own_sha")
+    own = docs.withColumn(own_sha, digest(text))
+    stay = own.join(kept, own[doc_id].eqNullSafe(kept["kept_id"]) & (own[own_sha] == kept["kept_sha"]), "left_semi")
+    return stay.dropDuplicates([doc_id, own_sha]).drop(own_sha)

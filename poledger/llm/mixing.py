@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from poledger.llm.names import fresh
 from poledger.llm.numbering import seeded, starts
 from poledger.plans.staging import settle
 
@@ -123,10 +124,11 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
         .groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("text_crc32").alias("mix_crc"))
         .agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     )
-    own = docs.withColumn("own_crc", F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    own_crc, copy = fresh(docs, "own_crc"), fresh(docs, "copy")
+    own = docs.withColumn(own_crc, F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     met = own.join(
         copies,
-        own[doc_id].eqNullSafe(copies["mix_id"]) & own[source].eqNullSafe(copies["mix_source"]) & (own["own_crc"] == copies["mix_crc"]),
+        own[doc_id].eqNullSafe(copies["mix_id"]) & own[source].eqNullSafe(copies["mix_source"]) & (own[own_crc] == copies["mix_crc"]),
     )
-    each = F.expr("cast(ceil(copies / rows) as int)")
-    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), each))).select(*[own[c] for c in docs.columns])
+    each = F.ceil(copies["copies"] / copies["rows"]).cast("int")
+    return met.select(*[own[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), each)).alias(copy)).drop(copy)
