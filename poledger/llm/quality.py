@@ -151,7 +151,7 @@ def learn(rows: Sequence[tuple[int, Sequence[int], Sequence[float], Sequence[flo
     prior = y.mean() if len(y) else 0.5
     rng = np.random.default_rng(7)
     w, v = np.zeros(size), rng.normal(0, 0.05, (size, FACTORS))
-    if not 0 < prior < 1:
+    if not rows or not 0 < prior < 1:
         return Machine(edges, 35.0 * (2 * prior - 1), w, np.zeros_like(v))
     blank = Machine(edges, 0.0, w, v)
     feats = [blank.features(np.asarray(r[1], np.int64), np.asarray(r[2]), n) for r, n in zip(rows, numbers, strict=True)]
