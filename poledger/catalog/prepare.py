@@ -35,9 +35,17 @@ def stratified_split(t):
     return prepare.split(base(t), 500)
 
 
-@query("rebalance_layouts", None)
+_REBALANCE = {
+    "counts": "SELECT layout, count(id) AS n FROM (SELECT 'L' || CAST(i AS VARCHAR) AS layout FROM range(1, 7) r(i)) l LEFT JOIN base USING (layout) GROUP BY layout",
+    "places": "SELECT new_layout, row_number() OVER (ORDER BY depth, new_layout) AS rank FROM (SELECT layout AS new_layout, unnest(range(n, 400)) AS depth FROM counts WHERE n < 400) p",
+    "leaving": """SELECT id, row_number() OVER (ORDER BY height DESC, seq DESC) AS rank FROM (
+        SELECT id, seq, n + 1 - row_number() OVER (PARTITION BY layout ORDER BY seq DESC) AS height FROM base JOIN counts USING (layout) WHERE NOT frequent) h WHERE height > 400""",
+}
+
+
+@query("rebalance_layouts", "SELECT b.id, coalesce(p.new_layout, b.layout) AS layout FROM base b LEFT JOIN (leaving JOIN places p USING (rank)) ON leaving.id = b.id", {**V, **_REBALANCE})
 def rebalance_layouts(t):
-    return prepare.rebalance(base(t), 40)
+    return prepare.rebalance(base(t), 400)
 
 
 _MIXED = f"""
@@ -122,16 +130,16 @@ def expected_duplicates(t):
 @query(
     "format_po_number",
     """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'PO/' || fy || '/' || lpad(serial, 5, '0') WHEN 1 THEN '45000' || lpad(serial, 5, '0')
-              WHEN 2 THEN 'GMM-PUR-' || strftime(po_date, '%y') || '-' || lpad(serial, 4, '0')
-              WHEN 3 THEN 'GMM/PO/' || serial || '/' || substr(fy, 3) ELSE 'PO-' || strftime(po_date, '%Y%m') || '-' || lpad(serial, 4, '0') END AS po_number
-       FROM (SELECT doc_id, po_date, CAST(doc_id % 9999 + 1 AS VARCHAR) AS serial,
+              WHEN 2 THEN initials || '-PUR-' || strftime(po_date, '%y') || '-' || lpad(serial, 4, '0')
+              WHEN 3 THEN initials || '/PO/' || serial || '/' || substr(fy, 3) ELSE 'PO-' || strftime(po_date, '%Y%m') || '-' || lpad(serial, 4, '0') END AS po_number
+       FROM (SELECT doc_id, po_date, CAST(doc_id % 9999 + 1 AS VARCHAR) AS serial, upper(array_to_string(list_transform(regexp_extract_all(buyer_name, '[A-Za-z]+'), lambda w: left(w, 1)), '')) AS initials,
                     CASE WHEN month(po_date) >= 4 THEN year(po_date) || '-' || lpad(CAST((year(po_date) + 1) % 100 AS VARCHAR), 2, '0')
                          ELSE (year(po_date) - 1) || '-' || lpad(CAST(year(po_date) % 100 AS VARCHAR), 2, '0') END AS fy FROM po_party) x""",
 )
 def format_po_number(t):
     styles = F.array(*[F.lit(s) for s in prepare.SERIAL_DIGITS])
     style = F.get(styles, (F.col("doc_id") % 5).cast("int"))
-    number = prepare.format_number(style, F.lit("GMM"), F.col("po_date"), F.col("doc_id") % 9999 + 1)
+    number = prepare.format_number(style, prepare.initials(F.col("buyer_name")), F.col("po_date"), F.col("doc_id") % 9999 + 1)
     return t("po_party").select("doc_id", number.alias("po_number"))
 
 

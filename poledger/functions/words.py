@@ -23,77 +23,73 @@ def _map(d: dict[str, int]) -> Column:
                           for kv in d.items() for x in kv])
 
 
-def _number(words: Column) -> Column:
-    """Value of an array of number words (null if any word is unknown).
+_DEC = "decimal(20,0)"
+_PAISE = ("paise", "paisa")
 
-    State: what the scale words have closed, and the group still open. Crore multiplies
-    everything so far; the other scales only the open group (an empty one counts as 1).
-    """
-    zero = F.lit(0).cast("decimal(20,0)")
-    dec = "decimal(20,0)"
 
-    def step(acc: Column, w: Column) -> Column:
-        unit, scale = F.try_element_at(_map(VALUES), w), F.try_element_at(_map(SCALE_WORDS), w)
-        group = F.when(acc["group"] == 0, F.lit(1).cast(dec)).otherwise(acc["group"])
-        crore = w.startswith("crore")
-        closed = F.when(crore, (acc["closed"] + acc["group"]) * scale).otherwise(
-            acc["closed"] + group * scale
-        )
-        return F.struct(
-            F.when(scale.isNotNull(), closed).otherwise(acc["closed"]).cast(dec).alias("closed"),
-            F.when(unit.isNotNull(), acc["group"] + unit)
-            .when(w == "hundred", group * 100)
-            .when(scale.isNotNull(), zero)
-            .otherwise(acc["group"])
-            .cast(dec)
-            .alias("group"),
-            (acc["bad"] | (unit.isNull() & scale.isNull() & (w != "hundred"))).alias("bad"),
-        )
+def _sum(closed: Column, group: Column) -> Column:
+    """A number being read: what its scale words have closed, and the group still open."""
+    return F.struct(closed.cast(_DEC).alias("closed"), group.cast(_DEC).alias("group"))
 
-    start = F.struct(zero.alias("closed"), zero.alias("group"), F.lit(False).alias("bad"))
-    return F.aggregate(
-        words, start, step, lambda a: F.when(~a["bad"], (a["closed"] + a["group"]).cast(dec))
+
+def _read(n: Column, w: Column, unit: Column, scale: Column) -> Column:
+    """The number after one more word. Crore takes all that was read, other scales the open group."""
+    open_ = F.greatest(n["group"], F.lit(1).cast(_DEC))
+    scaled = F.when(w.startswith("crore"), (n["closed"] + n["group"]) * scale).otherwise(n["closed"] + open_ * scale)
+    return _sum(
+        F.coalesce(scaled, n["closed"]),
+        F.when(scale.isNotNull(), 0).when(w == "hundred", open_ * 100).otherwise(n["group"] + F.coalesce(unit, F.lit(0).cast(_DEC))),
     )
 
 
 def parse_words(value: Column) -> Column:
-    """struct(amount decimal(24,2), problem string) of an amount in words."""
-    words = F.filter(
-        F.split(F.trim(F.regexp_replace(F.lower(value), "[^a-z]+", " ")), " "),
-        lambda w: (w != "") & ~w.isin(*FILLER),
-    )
-    paise_at = F.array_max(
-        F.transform(words, lambda w, i: F.when(w.isin("paise", "paisa"), i))
-    )  # 0-based, null if none
-    mentions = F.size(F.filter(words, lambda w: w.isin("paise", "paisa")))
-    before = F.slice(words, F.lit(1), F.coalesce(paise_at, F.lit(0)))
-    last_and = F.coalesce(
-        F.array_max(F.transform(before, lambda w, i: F.when(w == "and", i))), F.lit(-1)
-    )
-    leads = paise_at < F.size(words) - 1  # "... and Paise Fifty"
-    rupee_part = (
-        F.when(paise_at.isNull(), words)
-        .when(leads, before)
-        .otherwise(F.slice(before, F.lit(1), F.greatest(last_and, F.lit(0))))
-    )
-    rest = F.size(words)
-    paise_part = F.when(paise_at.isNull(), F.array().cast("array<string>")).when(
-        leads, F.slice(words, F.coalesce(paise_at, F.lit(0)) + 2, rest)
-    ).otherwise(F.slice(before, last_and + 2, rest))
-    rupee_words = F.filter(rupee_part, lambda w: w != "and")
-    paise_words = F.filter(paise_part, lambda w: w != "and")
-    rupees, paise = _number(rupee_words), _number(paise_words)
-    problem = (
-        F.when(mentions > 1, "paise mentioned twice")
-        .when((F.size(rupee_words) == 0) & (F.size(paise_words) == 0), "no amount")
-        .when(rupees.isNull() | paise.isNull(), "not a number word")
-        .when(paise >= 100, "paise must be below 100")
-    )
-    amount = (rupees + paise * F.lit(0.01).cast("decimal(3,2)")).cast("decimal(24,2)")
-    return F.when(
-        value.isNotNull(),
-        F.struct(F.when(problem.isNull(), amount).alias("amount"), problem.alias("problem")),
+    """struct(amount decimal(24,2), problem string) of an amount in words.
+
+    One pass over the words reads two numbers side by side: `all` from the start, and `part` since the
+    last "and". At the word paise both are kept: if words follow, the rupees end there and the
+    paise are what follows; if not, the paise are the part and the rupees what stood before it.
+    """
+    tokens = F.filter(
+        F.split(F.trim(F.regexp_replace(F.lower(value), "[^a-z]+", " ")), " "), lambda w: (w != "") & ~w.isin(*FILLER)
     )
+    none = _sum(F.lit(0), F.lit(0))
+
+    def step(s: Column, w: Column) -> Column:
+        unit, scale = F.try_element_at(_map(VALUES), w), F.try_element_at(_map(SCALE_WORDS), w)
+        mark, join = w.isin(*_PAISE), w == "and"
+        plain = ~mark & ~join
+        return F.struct(
+            F.when(plain, _read(s["all"], w, unit, scale)).otherwise(s["all"]).alias("all"),
+            F.when(plain, _read(s["part"], w, unit, scale)).otherwise(none).alias("part"),
+            F.when(join & (s["marks"] == 0), s["all"]).otherwise(s["before"]).alias("before"),
+            F.when(mark, s["all"]).otherwise(s["led"]).alias("led"),
+            F.when(mark, s["part"]).otherwise(s["held"]).alias("held"),
+            (s["marks"] + mark.cast("int")).alias("marks"),
+            F.when(mark, 0).otherwise(s["since"] + 1).alias("since"),
+            (s["read"] + plain.cast("int")).alias("read"),
+            (s["odd"] | (plain & unit.isNull() & scale.isNull() & (w != "hundred"))).alias("odd"),
+        )
+
+    start = F.struct(
+        none.alias("all"), none.alias("part"), none.alias("before"), none.alias("led"), none.alias("held"),
+        F.lit(0).alias("marks"), F.lit(0).alias("since"), F.lit(0).alias("read"), F.lit(False).alias("odd"),
+    )
+
+    def finish(s: Column) -> Column:
+        total = lambda n: n["closed"] + n["group"]
+        follows = s["since"] > 0
+        rupees = F.when(s["marks"] == 0, total(s["all"])).when(follows, total(s["led"])).otherwise(total(s["before"]))
+        paise = F.when(s["marks"] == 0, F.lit(0).cast(_DEC)).when(follows, total(s["part"])).otherwise(total(s["held"]))
+        problem = (
+            F.when(s["marks"] > 1, "paise mentioned twice")
+            .when(s["read"] == 0, "no amount")
+            .when(s["odd"], "not a number word")
+            .when(paise >= 100, "paise must be below 100")
+        )
+        amount = (rupees + paise * F.lit(0.01).cast("decimal(3,2)")).cast("decimal(24,2)")
+        return F.struct(F.when(problem.isNull(), amount).alias("amount"), problem.alias("problem"))
+
+    return F.when(value.isNotNull(), F.aggregate(tokens, start, step, finish))
 
 
 def _title(words: tuple[str, ...]) -> Column:

@@ -177,7 +177,7 @@ TABLES: dict[str, str] = {
     "line_once": """
         SELECT * FROM (
             SELECT r.*, row_number() OVER (
-                PARTITION BY doc_id, line_no ORDER BY part_key, supp_key) AS rn
+                PARTITION BY doc_id, line_no ORDER BY part_key, supp_key, quantity, taxable_value, gst_rate, ship_date) AS rn
             FROM raw_line r) x
         WHERE rn = 1""",
     "po_line": """
