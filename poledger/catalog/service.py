@@ -69,21 +69,26 @@ def tail_events(t):
     return service.tail_events(t("job_events"), 7, 100).select("job_id", "event_id", "type")
 
 
+# Reviewers: every third job is resolved at the end of January 2024.
 _REVIEWS = """
-    SELECT job_id, created_at, coalesce(done > need, false) AS resolved FROM (
-        SELECT job_id, min(ts) FILTER (WHERE type = 'needs_review') AS created_at, max((ts, event_id)) FILTER (WHERE type = 'needs_review') AS need,
-               max((ts, event_id)) FILTER (WHERE type = 'completed') AS done FROM job_events GROUP BY job_id) x WHERE need IS NOT NULL"""
+    SELECT e.job_id, ended AS created_at, e.job_id % 3 = 0 AND ended <= TIMESTAMP '2024-01-31 00:00:00' AS resolved FROM fin e WHERE type = 'needs_review'"""
+_REVIEW_VIEWS = {"ev": _EV, "born": _BORN, "run": _RUN, "fin": _END, "review": _REVIEWS}
 
 
-@query("open_reviews", "SELECT job_id, epoch_us(created_at) AS created_us FROM reviews WHERE NOT resolved", {"reviews": _REVIEWS})
+def _resolutions(t):
+    jobs = t("job_events").filter("job_id % 3 = 0").select("job_id").distinct()
+    return jobs.withColumn("ts", F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))
+
+
+@query("open_reviews", "SELECT job_id, epoch_us(created_at) AS created_us FROM review WHERE NOT resolved", _REVIEW_VIEWS)
 def open_reviews(t):
-    r = service.reviews(t("job_events"))
+    r = service.reviews(t("job_events"), _resolutions(t))
     return r.select("job_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("created_us"))
 
 
-@query("all_reviews", "SELECT job_id, resolved FROM reviews", {"reviews": _REVIEWS})
+@query("all_reviews", "SELECT job_id, resolved FROM review", _REVIEW_VIEWS)
 def all_reviews(t):
-    return service.reviews(t("job_events"), open_only=False).select("job_id", "resolved")
+    return service.reviews(t("job_events"), _resolutions(t), open_only=False).select("job_id", "resolved")
 
 
 @query(
@@ -93,9 +98,12 @@ def all_reviews(t):
 )
 def apply_corrections(t):
     h = t("po_header")
-    name = h.filter("doc_id % 13 = 0").select("doc_id", F.lit("buyer_name").alias("field"), F.lit("Corrected Ltd").alias("value"))
-    total = h.filter("doc_id % 31 = 0").select("doc_id", F.lit("grand_total").alias("field"), F.lit("1234.50").alias("value"))
-    fixed = service.apply_corrections(h, name.unionByName(total))
+    fix = lambda step, field, value, at: h.filter(f"doc_id % {step} = 0").select(
+        "doc_id", F.lit(field).alias("field"), F.lit(value).alias("value"), F.lit(at).alias("at")
+    )
+    # many names are corrected twice
+    name = fix(13, "buyer_name", "Corrected Ltd", 2).unionByName(fix(39, "buyer_name", "Zero Ltd", 1))
+    fixed = service.apply_corrections(h, name.unionByName(fix(31, "grand_total", "1234.50", 1)))
     return fixed.select("doc_id", "buyer_name", F.col("grand_total").cast("double").alias("grand_total"), "vendor_name")
 
 

@@ -34,8 +34,10 @@ def parse_answers(calls: DataFrame) -> DataFrame:
     """Adds answer, thought, ok and error_kind (transient/api from the request, truncated,
     invalid_json)."""
     c = split_reasoning(calls)
-    is_json = F.try_parse_json("answer").isNotNull()
-    is_object = F.json_object_keys("answer").isNotNull()
+    keys = F.json_object_keys("answer")
+    is_object = keys.isNotNull()
+    # a repeated key is no error: the last one counts
+    is_json = F.try_parse_json("answer").isNotNull() | (F.size(keys) > F.size(F.array_distinct(keys)))
     kind = (
         F.when(F.col("request_error").isNotNull(), F.col("request_error"))
         .when(F.col("finish_reason") == "length", "truncated")
@@ -90,17 +92,31 @@ def _cast(kind: str, v: Column) -> Column:
     return {"text": v, "date": parse_date(v), "money": v.try_cast("decimal(18,2)")}[kind]
 
 
+def _by_full_name(given: Column) -> Column:
+    """The answer's values by full field name; of several keys with one full name the last counts."""
+    pairs = F.transform(
+        F.arrays_zip(F.map_keys(given).alias("k"), F.map_values(given).alias("v")),
+        lambda e: F.struct(F.coalesce(F.try_element_at(_key_map(), e["k"]), e["k"]).alias("key"), e["v"].alias("value")),
+    )
+    last = F.filter(
+        pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == e["key"])
+    )
+    return F.map_from_entries(last)
+
+
+def _whole(c: Column) -> Column:
+    """A whole number, also when it is written with a fraction of zero (17.0)."""
+    d = F.trim(c).try_cast("decimal(20,4)")
+    return F.when(d == F.floor(d), d).try_cast("int")
+
+
 def merge_header(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(typed header, header errors). One bad value never hides the others; absent tax totals are
     0.00 once there is a header answer.
 
     The answer's keys stay in one row as a map, so typing needs no unpivot and no shuffle.
     """
-    renamed = F.transform_keys(
-        F.from_json("answer", "map<string,string>"),
-        lambda k, v: F.coalesce(F.try_element_at(_key_map(), k), k),
-    )
-    base = answers.select("doc_id", renamed.alias("m"))
+    base = answers.select("doc_id", _by_full_name(F.from_json("answer", "map<string,string>")).alias("m"))
     value = {f: F.try_element_at("m", F.lit(f)) for f in HEADER_FIELDS}
     cells = {}
     for f in HEADER_FIELDS:
@@ -123,9 +139,9 @@ def merge_header(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # --- line items ------------------------------------------------------------------------------
-def decode_rows(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, row errors) of line-item answers. A row is an array of 12 cells (or 15, the full
-    form); anything else is a row error naming the cell count.
+def decode_rows(answers: DataFrame, widths: tuple[int, ...] = (len(ROW_COLUMNS),)) -> tuple[DataFrame, DataFrame]:
+    """(rows, row errors) of line-item answers. A row is an array of 12 cells (15 in the full form,
+    where `widths` allows it); anything else is a row error naming the cell count or the kind of value.
 
     Rows come out of the answer in two steps, so one malformed row never nulls its neighbours.
     """
@@ -135,13 +151,21 @@ def decode_rows(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     # What is no array parses to a one-cell array in permissive mode.
     is_array = F.ltrim("row").startswith("[")
     n = F.when(is_array, F.size("cells"))
-    good = n.isin(len(ROW_COLUMNS), len(LINE_COLUMNS))
+    good = n.isin(*widths)
     def pick(name: str) -> Column:
         short = F.get("cells", F.lit(ROW_COLUMNS.index(name))) if name in ROW_COLUMNS else F.lit(None).cast("string")
         return F.when(n == len(ROW_COLUMNS), short).otherwise(F.get("cells", F.lit(LINE_COLUMNS.index(name)))).alias(name)
 
     rows = r.filter(good).select("doc_id", "call_id", "page_no", "idx", *[pick(c) for c in LINE_COLUMNS])
-    size = F.coalesce(n.cast("string"), F.lit("str"))
+    kind = (
+        F.when(F.col("row").isNull(), "NoneType")
+        .when(F.ltrim("row").startswith("{"), "dict")
+        .when(F.col("row").isin("true", "false"), "bool")
+        .when(F.col("row").rlike(r"\A-?[0-9]+\z"), "int")
+        .when(F.col("row").try_cast("double").isNotNull(), "float")
+        .otherwise("str")
+    )
+    size = F.coalesce(n.cast("string"), kind)
     errors = r.filter(~F.coalesce(good, F.lit(False))).select(
         "doc_id", "call_id", "page_no", "idx",
         F.concat(F.lit(f"expected {len(ROW_COLUMNS)} cells, got "), size).alias("message"),
@@ -160,8 +184,8 @@ def join_fragments(rows: DataFrame) -> DataFrame:
     """Continuation fragments (no number, no quantity, first in their answer) folded into the
     last whole row before them.
 
-    Only one row per answer can be a fragment and only the last row of an answer can take one,
-    so a window over answers (not rows) finds each fragment's head; whole rows that take no
+    The first row of a document is a head whatever its shape. Only one row per answer can be a
+    fragment and only the last row of an answer can take one, so a window over answers (not rows) finds each fragment's head; whole rows that take no
     fragment never shuffle for it.
     """
     frag = F.col("line_no").isNull() & F.col("quantity").isNull() & (F.col("idx") == 0)
@@ -169,8 +193,15 @@ def join_fragments(rows: DataFrame) -> DataFrame:
     per_call = rows.groupBy("doc_id", "page_no").agg(
         F.max(F.when(~frag, F.struct("page_no", "idx"))).alias("last_head"),
         F.bool_or(frag).alias("has_fragment"),
+        F.min(F.when(frag, F.struct("page_no", "idx"))).alias("fragment"),
     )
-    before = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    by_page = Window.partitionBy("doc_id").orderBy("page_no")
+    opens = F.row_number().over(by_page) == 1
+    per_call = per_call.withColumn("opens", opens).select(
+        "doc_id", "page_no", (F.col("has_fragment") & ~F.col("opens")).alias("has_fragment"),
+        F.coalesce("last_head", F.when(F.col("opens"), F.col("fragment"))).alias("last_head"),
+    )
+    before = by_page.rowsBetween(Window.unboundedPreceding, -1)
     heads = per_call.withColumn("head", F.max("last_head").over(before)).filter("has_fragment and head is not null")
     taken = rows.filter(frag).join(heads.select("doc_id", "page_no", "head"), ["doc_id", "page_no"])
     pieces = taken.groupBy("doc_id", F.col("head.page_no").alias("page_no"), F.col("head.idx").alias("idx")).agg(
@@ -193,7 +224,7 @@ def join_fragments(rows: DataFrame) -> DataFrame:
 def dedupe_rows(rows: DataFrame) -> DataFrame:
     """One row per line number: most filled cells, then longest description, then first. Rows
     without a number all stay."""
-    number = F.trim("line_no").try_cast("int")
+    number = _whole(F.col("line_no"))
     filled = F.lit(0)
     for c in LINE_COLUMNS:
         filled = filled + F.col(c).isNotNull().cast("int")
@@ -211,6 +242,8 @@ def type_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def typed(c: str) -> Column:
         t = LINE_TYPE[c]
+        if t == "int":
+            return _whole(F.col(c))
         return F.col(c) if t == "string" else parse_date(F.col(c)) if t == "date" else F.trim(c).try_cast(t)
 
     first_bad = F.coalesce(*[
@@ -223,7 +256,7 @@ def type_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     r = rows.withColumn("message", first_bad)
     good = r.filter("message is null").select("doc_id", "call_id", "page_no", "idx", *[typed(c).alias(c) for c in LINE_COLUMNS])
     bad = r.filter("message is not null").select(
-        "doc_id", "call_id", F.trim("line_no").try_cast("int").alias("line_no"), "message", "page_no", "idx"
+        "doc_id", "call_id", _whole(F.col("line_no")).alias("line_no"), "message", "page_no", "idx"
     )
     return good, bad
 
@@ -240,7 +273,9 @@ def missing_calls(calls: DataFrame, planned: DataFrame) -> DataFrame:
 def best_answer(calls: DataFrame) -> DataFrame:
     """A retried call that succeeded replaces the first answer; otherwise the first stays."""
     rank = F.when((F.col("attempt") == "retry") & F.col("ok"), 0).when(F.col("attempt") == "first", 1).otherwise(2)
-    w = Window.partitionBy("doc_id", "call_id").orderBy(rank)
+    # of several answers of one rank the latest, where the table says which that is
+    latest = [F.desc(c) for c in ("ended_at", "attempt_no") if c in calls.columns]
+    w = Window.partitionBy("doc_id", "call_id").orderBy(rank, *latest, F.md5("content"))
     return calls.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn").filter(
         (F.col("attempt") == "first") | F.col("ok")
     )

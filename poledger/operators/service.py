@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +20,13 @@ def submit(submissions: DataFrame) -> DataFrame:
     return s.join(first, "job_id").select("job_id", "po_seq", (F.col("po_seq") == F.col("first")).alias("created"))
 
 
-STATE_SCHEMA = (
-    "job_id bigint, status string, attempts int, queue_ms double, latency_ms double, wrong int"
+STATE_COLUMNS = (
+    "status string, attempts int, queue_ms double, latency_ms double, wrong int"
 )
 
 
 class JobState:
-    """The lifecycle of one job: what each event may do in each status."""
+    """The lifecycle of one job as a stream sees it: what each event may do in each status."""
 
     __slots__ = ("created", "status", "attempts", "queue_ms", "latency_ms", "wrong")
 
@@ -56,30 +55,40 @@ class JobState:
         return (job, self.status, self.attempts, self.queue_ms, self.latency_ms, self.wrong)
 
 
+def lifecycles(events: DataFrame) -> DataFrame:
+    """(job_id, born, run, fin): what counts in a job's life, each with its place in time. It is born
+    with its first queued event and ends with the first failure after that, or the first end of
+    another kind after its first processing event. All else is wrong or repeats.
+
+    Three minima, so the events of a busy job fold before any shuffle.
+    """
+    e = events.select(
+        F.col("job_id").alias("job"), "type", F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id").alias("at")
+    )
+    born = e.filter("type = 'queued'").groupBy(F.col("job").alias("job_id")).agg(F.min("at").alias("born"))
+    alive = e.filter("type <> 'queued'").join(born, F.col("job") == F.col("job_id")).filter("at > born")
+    run = alive.filter("type = 'processing'").groupBy("job").agg(F.min("at").alias("run"))
+    ends = alive.filter("type in ('failed', 'completed', 'needs_review')").join(run, "job", "left")
+    fin = ends.filter("type = 'failed' or at > run").groupBy("job").agg(F.min(F.struct("at", "type")).alias("fin"))
+    jobs = e.select(F.col("job").alias("job_id")).distinct().join(born, "job_id", "left")
+    return jobs.join(run.withColumnRenamed("job", "job_id"), "job_id", "left").join(fin.withColumnRenamed("job", "job_id"), "job_id", "left")
+
+
 def job_state(events: DataFrame) -> DataFrame:
-    """Final state of every job. A streaming fold over events sorted by job and time: one state
-    in memory, however many events a job has."""
-
-    def fold(batches):
-        job, state = None, None
-        for pdf in batches:
-            out = []
-            for j, kind, us in zip(pdf["job_id"], pdf["type"], pdf["us"]):
-                if j != job:
-                    if state is not None:
-                        out.append(state.row(job))
-                    job, state = j, JobState()
-                state.apply(kind, us)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in STATE_SCHEMA.split(", ")])
-        if state is not None:
-            yield pd.DataFrame([state.row(job)], columns=[c.split()[0] for c in STATE_SCHEMA.split(", ")])
-
-    return (
-        events.select("job_id", "type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-        .repartition("job_id")
-        .sortWithinPartitions("job_id", "us", "event_id")
-        .mapInPandas(fold, STATE_SCHEMA)
+    """Final state of every job: status, attempts, waiting and running time, events out of order."""
+    lives = lifecycles(events).withColumnRenamed("job_id", "job")
+    at = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id"))
+    j = events.select("job_id", "type", at.alias("at")).join(lives, F.col("job_id") == F.col("job"))
+    tried = (F.col("type") == "processing") & (F.col("at") > F.col("born")) & (F.col("fin").isNull() | (F.col("at") < F.col("fin.at")))
+    per = j.groupBy("job_id", "born", "run", "fin").agg(
+        F.count_if(tried).cast("int").alias("attempts"), F.count_if(F.col("type") != "queued").alias("others")
     )
+    waited = lambda c: (F.col(f"{c}.us") - F.col("born.us")) / 1000
+    status = F.when(F.col("fin").isNotNull(), F.col("fin.type")).when(F.col("attempts") > 0, "processing").when(F.col("born").isNotNull(), "queued")
+    return per.select(
+        "job_id", status.alias("status"), "attempts", F.when(F.col("attempts") > 0, waited("run")).alias("queue_ms"), waited("fin.at").alias("latency_ms"),
+        (F.col("others") - F.col("attempts") - F.col("fin").isNotNull().cast("int")).cast("int").alias("wrong"),
+    )
 
 
 def list_jobs(jobs: DataFrame, status: str | None = None, since: str | None = None, limit: int = 100) -> DataFrame:
@@ -97,26 +106,21 @@ def tail_events(events: DataFrame, job_id: int, after_id: int = 0) -> DataFrame:
     return events.filter((F.col("job_id") == job_id) & (F.col("event_id") > after_id)).orderBy("event_id")
 
 
-def reviews(events: DataFrame, open_only: bool = True) -> DataFrame:
-    """(job_id, created_at, reopened_at, resolved): a review opens with needs_review, a later
-    completion resolves it, a newer needs_review opens it again."""
-    at = F.struct("ts", "event_id")
-    need = F.col("type") == "needs_review"
-    per_job = events.groupBy("job_id").agg(
-        F.min(F.when(need, F.col("ts"))).alias("created_at"),
-        F.max(F.when(need, at)).alias("last_need"),
-        F.max(F.when(F.col("type") == "completed", at)).alias("last_done"),
-    ).filter("last_need is not null")
-    out = per_job.select("job_id", "created_at", F.coalesce(F.col("last_done") > F.col("last_need"), F.lit(False)).alias("resolved"))
+def reviews(events: DataFrame, resolutions: DataFrame, open_only: bool = True) -> DataFrame:
+    """(job_id, created_at, resolved): a job whose accepted end is needs_review opens a review; only a
+    reviewer resolves it. resolutions: job_id, ts; those before the review opened do not count."""
+    opened = lifecycles(events).filter("fin.type = 'needs_review'").select("job_id", F.timestamp_micros("fin.at.us").cast("timestamp_ntz").alias("created_at"))
+    done = resolutions.groupBy("job_id").agg(F.max("ts").cast("timestamp_ntz").alias("done_at"))
+    out = opened.join(done, "job_id", "left").select("job_id", "created_at", F.coalesce(F.col("done_at") >= F.col("created_at"), F.lit(False)).alias("resolved"))
     return (out.filter("not resolved") if open_only else out).orderBy("created_at", "job_id")
 
 
 def apply_corrections(header: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Corrected text fields. Corrections fold to one map per document (at most 58 fields), so the
-    header stays wide."""
-    pairs = corrections.groupBy("doc_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_set(F.struct("field", "value")))).alias("fix")
-    )
+    """Corrected text fields; of several corrections of a field the latest counts (the largest
+    value among equals). corrections: doc_id, field, value, at. They fold to one map per document
+    (at most 58 fields), so the header stays wide."""
+    latest = corrections.groupBy("doc_id", "field").agg(F.max(F.struct("at", "value"))["value"].alias("value"))
+    pairs = latest.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fix"))
     j = header.join(pairs, "doc_id", "left")
     return j.select("doc_id", *[
         F.coalesce(F.try_element_at("fix", F.lit(f)).try_cast(header.schema[f].dataType), F.col(f)).alias(f)

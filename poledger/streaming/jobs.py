@@ -47,17 +47,19 @@ def job_state(events: DataFrame, idle: str = "7 days") -> DataFrame:
         if state.exists:
             job.created, job.status, job.attempts, job.queue_ms, job.latency_ms, job.wrong = state.get
         newest = 0
-        frames = list(batches)  # one micro-batch of one job, bounded by the source's batch limit
-        for _, row in pd.concat(frames).sort_values(["us", "event_id"]).iterrows():
-            job.apply(row["type"], int(row["us"]))
-            newest = max(newest, int(row["us"]))
+        # one micro-batch of one job, bounded by the source's batch limit; three columns of it
+        found = [t for b in batches for t in zip(b["us"].tolist(), b["event_id"].tolist(), b["type"].tolist(), strict=True)]
+        for us, _, kind in sorted(found):
+            job.apply(kind, us)
+            newest = max(newest, us)
         state.update((job.created, job.status, job.attempts, job.queue_ms, job.latency_ms, job.wrong))
         state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame([job.row(key[0])], columns=[c.split()[0] for c in service.STATE_SCHEMA.split(", ")])
+        yield pd.DataFrame([job.row(key[0])], columns=["job_id", *(c.split()[0] for c in service.STATE_COLUMNS.split(", "))])
 
     e = with_event_time(events).withColumn("us", F.unix_micros("ts"))
+    kind = events.schema["job_id"].dataType.simpleString()  # numbers or SHA-256 strings
     return e.groupBy("job_id").applyInPandasWithState(
-        update, service.STATE_SCHEMA, STATE, "update", "EventTimeTimeout"
+        update, f"job_id {kind}, {service.STATE_COLUMNS}", STATE, "update", "EventTimeTimeout"
     )
 
 
