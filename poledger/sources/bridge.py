@@ -2,7 +2,7 @@
 
 Each table is one SELECT in the SQL both Spark and DuckDB read, so a query and its counterpart
 start from the same rows. Choices that stand for chance (defects, variants) hang on key
-remainders. Nothing is collected: every table is a lazy plan over the whole parquet files.
+remainders. Nothing is collected; tables that many queries read are written once in the shared folder.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from poledger.plans.staging import place
 from poledger.refdata import (
     ALPHANUMERIC,
     CRITICAL_HEADER_FIELDS,
@@ -511,14 +512,20 @@ _WORD = re.compile(r"\b[a-z_]+\b")
 _WITHIN = re.compile(r"\) WITHIN GROUP \(ORDER BY ([^)]*)\)")
 
 
-def closure(names: list[str]) -> list[str]:
-    """The named tables and everything they read, in definition order."""
+#: Tables that many queries read: written once for each application and folder.
+STORED = ("po_party", "po_line", "po_base", "po_header", "pred_header", "pred_line", "page_text", "call_answer")
+_PATHS: dict[tuple[str, str, str], str] = {}
+
+
+def closure(names: list[str], ready: tuple[str, ...] = ()) -> list[str]:
+    """The named tables and everything they read, in definition order; `ready` ones read nothing."""
     wanted, todo = set(), [n for n in names if n in TABLES]
     while todo:
         n = todo.pop()
         if n not in wanted:
             wanted.add(n)
-            todo += [w for w in _WORD.findall(TABLES[n]) if w in TABLES and w != n]
+            if n not in ready:
+                todo += [w for w in _WORD.findall(TABLES[n]) if w in TABLES and w != n]
     return [n for n in TABLES if n in wanted]
 
 
@@ -534,13 +541,28 @@ def with_clause(sql: str, extra: dict[str, str] | None = None) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A bridge or driver table as a lazy DataFrame."""
+    """A bridge or driver table: a lazy plan over parquet files of the driver and of STORED tables."""
     if name in BASE_TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    chain = closure([name])
-    words = {w for n in chain for w in _WORD.findall(TABLES[n])}
-    base = [f"{b} AS (SELECT * FROM parquet.`{sf_dir}/{b}.parquet`)" for b in BASE_TABLES if b in words]
-    parts = base + [f"{n} AS ({TABLES[n]})" for n in chain]
+    if name in STORED:
+        return spark.read.parquet(_stored(spark, sf_dir, name))
+    return _planned(spark, sf_dir, name, STORED)
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _PATHS:
+        path = place(spark, f"bridge-{name}")
+        _planned(spark, sf_dir, name, tuple(n for n in STORED if n != name)).write.parquet(path)
+        _PATHS[key] = path
+    return _PATHS[key]
+
+
+def _planned(spark: SparkSession, sf_dir: str, name: str, ready: tuple[str, ...]) -> DataFrame:
+    chain = closure([name], ready)
+    words = {w for n in chain if n not in ready for w in _WORD.findall(TABLES[n])}
+    paths = [(b, f"{sf_dir}/{b}.parquet") for b in BASE_TABLES if b in words] + [(n, _stored(spark, sf_dir, n)) for n in chain if n in ready]
+    parts = [f"{n} AS (SELECT * FROM parquet.`{path}`)" for n, path in paths] + [f"{n} AS ({TABLES[n]})" for n in chain if n not in ready]
     return spark.sql("WITH " + ", ".join(parts) + f" SELECT * FROM {name}")
 
 
