@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poledger.catalog import duck
@@ -32,10 +33,32 @@ _HS = _scored(" UNION ALL ".join(
     f"FROM po_header h LEFT JOIN pred_header q ON q.doc_id = h.doc_id"
     for f in HEADER_FIELDS
 ))
-_MATCH = """
+_NUMBERED = """
     SELECT t.doc_id, t.line_no AS t_idx, p.idx AS p_idx FROM po_line t
     JOIN (SELECT *, count(*) OVER (PARTITION BY doc_id, line_no) AS k FROM pred_line) p
       ON p.doc_id = t.doc_id AND p.line_no = t.line_no AND k = 1"""
+# Rows left over pair by content. In these tables two texts are similar when the words of one hold
+# those of the other (similarity 100); pairs go by score, then by place, each row once.
+_WORDS = "list_sort(list_distinct(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' ')))"
+_LEFT = f"""
+    SELECT t.doc_id, t.line_no AS t_idx, p.idx AS p_idx, (t.item_code = p.item_code)::INT AS code, (t.quantity = p.quantity)::INT AS qty,
+           (list_has_all({_WORDS.format("t.description")}, {_WORDS.format("p.description")})
+            OR list_has_all({_WORDS.format("p.description")}, {_WORDS.format("t.description")}))::INT AS alike
+    FROM po_line t JOIN pred_line p ON p.doc_id = t.doc_id
+    WHERE NOT EXISTS (SELECT 1 FROM numbered n WHERE n.doc_id = t.doc_id AND n.t_idx = t.line_no)
+      AND NOT EXISTS (SELECT 1 FROM numbered n WHERE n.doc_id = p.doc_id AND n.p_idx = p.idx)"""
+_RANKED = """
+    SELECT doc_id, t_idx, p_idx, row_number() OVER (PARTITION BY doc_id ORDER BY code + qty + alike DESC, t_idx, p_idx) AS i
+    FROM leftover WHERE alike = 1 OR code + qty = 2"""
+_MATCH = """
+    WITH RECURSIVE taken AS (
+        SELECT doc_id, 0::BIGINT AS i, []::INT[] AS ts, []::INT[] AS ps, NULL::INT AS t_idx, NULL::INT AS p_idx FROM (SELECT DISTINCT doc_id FROM ranked)
+        UNION ALL SELECT r.doc_id, r.i, CASE WHEN free THEN list_append(ts, r.t_idx::INT) ELSE ts END, CASE WHEN free THEN list_append(ps, r.p_idx::INT) ELSE ps END,
+               CASE WHEN free THEN r.t_idx::INT END, CASE WHEN free THEN r.p_idx::INT END
+        FROM (SELECT r.*, k.ts, k.ps, NOT list_contains(k.ts, r.t_idx::INT) AND NOT list_contains(k.ps, r.p_idx::INT) AS free
+              FROM taken k JOIN ranked r ON r.doc_id = k.doc_id AND r.i = k.i + 1) r)
+    SELECT doc_id, t_idx, p_idx FROM numbered UNION ALL SELECT doc_id, t_idx, p_idx FROM taken WHERE t_idx IS NOT NULL"""
+_MV = {"numbered": _NUMBERED, "leftover": _LEFT, "ranked": _RANKED, "matches": _MATCH}
 _CS = _scored(" UNION ALL ".join(
     f"SELECT m.doc_id, t.line_no AS row, '{c}' AS field, '{FIELD_TYPE[c]}' AS ftype, CAST(t.{c} AS VARCHAR) AS truth, "
     f"CAST(p.{c} AS VARCHAR) AS pred FROM matches m JOIN po_line t ON t.doc_id = m.doc_id AND t.line_no = m.t_idx "
@@ -56,24 +79,34 @@ _BAD_DOCS = f"""
     SELECT doc_id FROM hs WHERE field IN ({duck.quoted(CRITICAL_HEADER_FIELDS)}) AND outcome NOT IN ('correct','correct_absent')
     UNION SELECT doc_id FROM cs WHERE field IN ({duck.quoted(CRITICAL_LINE_COLUMNS)}) AND outcome NOT IN ('correct','correct_absent')
     UNION SELECT doc_id FROM unmatched WHERE kind = 'missed'"""
-V = {"hs": _HS, "matches": _MATCH, "cs": _CS, "unmatched": _UN, "errs": _ERR, "bad_docs": _BAD_DOCS}
+V = {"hs": _HS, **_MV, "cs": _CS, "unmatched": _UN, "errs": _ERR, "bad_docs": _BAD_DOCS}
 _HV = {"hs": _HS}
-_CV = {"matches": _MATCH, "cs": _CS}
-_UV = {"matches": _MATCH, "unmatched": _UN}
+_CV = {**_MV, "cs": _CS}
+_UV = {**_MV, "unmatched": _UN}
 
 
 def truth_rows(t):
     return t("po_line").withColumn("idx", F.col("line_no"))
 
 
+_MATCHES: dict[tuple[str, str], DataFrame] = {}
+
+
+def matches(t) -> DataFrame:
+    """The run's matched rows, found once for each application and folder."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _MATCHES:
+        _MATCHES[key] = evaluation.row_matches(truth_rows(t), t("pred_line"))
+    return _MATCHES[key]
+
+
 def run(t, **kw):
-    kw.setdefault("content", False)
-    return evaluation.score(t("po_header"), truth_rows(t), t("pred_header"), t("pred_line"), **kw)
+    return evaluation.score(t("po_header"), truth_rows(t), t("pred_header"), t("pred_line"), matches=matches(t), **kw)
 
 
 def oracle(t):
     """The oracle run: the truth as its own prediction."""
-    return evaluation.score(t("po_header"), truth_rows(t), t("po_header"), truth_rows(t), content=False)
+    return evaluation.score(t("po_header"), truth_rows(t), t("po_header"), truth_rows(t))
 
 
 @query(
@@ -100,7 +133,7 @@ def fuzzy_text(t):
     return h.filter("fuzzy is not null").select("doc_id", "field", "t", "p", F.round("fuzzy", 6).alias("fuzzy"))
 
 
-@query("match_line_no", "SELECT doc_id, t_idx, p_idx FROM matches", _UV)
+@query("match_line_no", "SELECT doc_id, t_idx, p_idx FROM numbered", _UV)
 def match_line_no(t):
     return scoring.match_by_number(truth_rows(t), t("pred_line"))
 
@@ -222,10 +255,7 @@ def latency_summary(t):
 @query("score_run")
 def score_run(t):
     """Everything with full row matching: the group summary of the whole run."""
-    guard = evaluation.unknown_records(t("records"), t("manifest"))
-    docs = evaluation.with_groups(run(t, content=True).docs, t("records"), t("manifest"))
-    known = docs.join(guard.select(F.col("doc_id").alias("run_doc")), "run_doc", "left_anti")
-    return scoring.group_summary(known)
+    return scoring.group_summary(evaluation.with_groups(run(t).docs, t("records"), t("manifest")))
 
 
 _FREQ = """SELECT e.*, n FROM errs e JOIN (SELECT field, count(*) AS n FROM errs GROUP BY field) c ON c.field = e.field"""

@@ -184,7 +184,7 @@ def match_by_content(candidate: DataFrame) -> DataFrame:
         candidate.repartition("doc_id")
         .sortWithinPartitions("doc_id", F.desc("score"), "t_idx", "p_idx")
         .select("doc_id", "t_idx", "p_idx")
-        .mapInPandas(take, "doc_id bigint, t_idx int, p_idx int")
+        .mapInPandas(take, ", ".join(f"{c} {candidate.schema[c].dataType.simpleString()}" for c in ("doc_id", "t_idx", "p_idx")))
     )
 
 

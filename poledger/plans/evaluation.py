@@ -26,15 +26,17 @@ class RunScore:
         return settle(scoring.errors(self.header, self.cells, self.rows), "errors")
 
 
+def row_matches(truth_rows: DataFrame, pred_rows: DataFrame) -> DataFrame:
+    """Matched rows of a run, written once: cells, unmatched rows and counts all read them."""
+    return settle(scoring.match_rows(truth_rows, pred_rows), "matches")
+
+
 def score(truth: DataFrame, truth_rows: DataFrame, pred: DataFrame, pred_rows: DataFrame,
-          include_computed: bool = True, content: bool = True) -> RunScore:
-    """All results of one run. `content=False` leaves out the fallback row matching."""
+          include_computed: bool = True, matches: DataFrame | None = None) -> RunScore:
+    """All results of one run. `matches`: what row_matches gave for these rows, where it is at hand."""
     header = scoring.score_header(truth, pred, include_computed)
-    if content:
-        # Written once: cells, unmatched rows and counts all read the matches.
-        matches = settle(scoring.match_rows(truth_rows, pred_rows), "matches")
-    else:
-        matches = scoring.match_by_number(truth_rows, pred_rows).withColumn("by_line_no", F.lit(True))
+    if matches is None:
+        matches = row_matches(truth_rows, pred_rows)
     cells = scoring.score_cells(truth_rows, pred_rows, matches, include_computed)
     rows = scoring.unmatched(truth_rows, pred_rows, matches)
     docs = scoring.doc_scores(truth, header, cells, rows, truth_rows, pred_rows, matches)
@@ -47,7 +49,11 @@ def unknown_records(records: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def with_groups(docs: DataFrame, records: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Per-document counts for every scored variant, with its grouping columns."""
+    """Per-document counts for every scored variant, with its grouping columns. A record that the
+    manifest does not list raises ValueError."""
+    odd = unknown_records(records, manifest).select("doc_id").limit(1).collect()
+    if odd:
+        raise ValueError(f"record {odd[0]['doc_id']} is not in the manifest")
     m = manifest.select(
         F.col("id").alias("run_doc"), F.col("doc_id").alias("po_id"), "layout",
         F.when(F.col("issuer_frequent") == "True", "frequent").otherwise("one_off").alias("issuer_type"),
