@@ -138,10 +138,13 @@ def match_line_no(t):
     return scoring.match_by_number(truth_rows(t), t("pred_line"))
 
 
-@query("match_content")
+@query(
+    "match_content",
+    "SELECT doc_id, t_idx, p_idx FROM matches m WHERE NOT EXISTS (SELECT 1 FROM numbered n WHERE n.doc_id = m.doc_id AND n.t_idx = m.t_idx)",
+    _MV,
+)
 def match_content(t):
-    m = scoring.match_rows(truth_rows(t), t("pred_line"))
-    return m.filter("not by_line_no").select("doc_id", "t_idx", "p_idx")
+    return matches(t).filter("not by_line_no").select("doc_id", "t_idx", "p_idx")
 
 
 @query("score_cells", 'SELECT doc_id, "row", field, outcome FROM cs', _CV)
