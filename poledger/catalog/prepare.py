@@ -37,15 +37,15 @@ def stratified_split(t):
 
 _REBALANCE = {
     "counts": "SELECT layout, count(id) AS n FROM (SELECT 'L' || CAST(i AS VARCHAR) AS layout FROM range(1, 7) r(i)) l LEFT JOIN base USING (layout) GROUP BY layout",
-    "places": "SELECT new_layout, row_number() OVER (ORDER BY depth, new_layout) AS rank FROM (SELECT layout AS new_layout, unnest(range(n, 400)) AS depth FROM counts WHERE n < 400) p",
+    "places": "SELECT new_layout, row_number() OVER (ORDER BY depth, new_layout) AS rank FROM (SELECT layout AS new_layout, unnest(range(n, 2000)) AS depth FROM counts WHERE n < 2000) p",
     "leaving": """SELECT id, row_number() OVER (ORDER BY height DESC, seq DESC) AS rank FROM (
-        SELECT id, seq, n + 1 - row_number() OVER (PARTITION BY layout ORDER BY seq DESC) AS height FROM base JOIN counts USING (layout) WHERE NOT frequent) h WHERE height > 400""",
+        SELECT id, seq, n + 1 - row_number() OVER (PARTITION BY layout ORDER BY seq DESC) AS height FROM base JOIN counts USING (layout) WHERE NOT frequent) h WHERE height > 2000""",
 }
 
 
 @query("rebalance_layouts", "SELECT b.id, coalesce(p.new_layout, b.layout) AS layout FROM base b LEFT JOIN (leaving JOIN places p USING (rank)) ON leaving.id = b.id", {**V, **_REBALANCE})
 def rebalance_layouts(t):
-    return prepare.rebalance(base(t), 400)
+    return prepare.rebalance(base(t), 2000)
 
 
 _MIXED = f"""
