@@ -4,6 +4,8 @@ Targets: sources share all words by weight; none gets more than `most` times its
 is cut off goes to the others by weight. The words are cut into equal blocks, and the blocks go one
 by one to the source with the highest quotient target / (2k + 1), where k counts the blocks it has.
 The rank of a block also names its shard, so each shard has an integer quota of each source.
+A source that whole blocks cannot serve (a target of a few blocks, or less than a block from its cap)
+takes its target to the word, in a last block of its own size; the others share what is left.
 Which words fill the blocks: the documents of a source stand in a seeded order, and block k takes
 the k-th stretch of that stream, starting over at its end.
 
@@ -26,6 +28,7 @@ from poledger.plans.staging import settle
 WEIGHTS = (5, 2, 1)  # by order of source, repeating
 MOST = 3  # times that a document may be taken
 BLOCKS = 16384  # blocks in the whole mix; also bounds the one sort over blocks
+FEW = 16  # a target of fewer blocks is taken to the word
 SHARDS = 16
 SEED = "mix"
 
@@ -73,26 +76,34 @@ def targets(rows: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOS
 def seats(goals: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:
     """One row per block that a source wins: source_no, nth (from 0), shard, block (its words).
 
-    A source can win at most quota * (1 + sources / blocks * 2) + 2 blocks, so no quotient that
-    could win is left out; all sources together list a few blocks more than there are."""
-    count = Window.partitionBy()
+    Sources served to the word have blocks up to their rounded target, the last a partial one. Of
+    the others, each can win at most quota * (1 + sources / blocks * 2) + 2 blocks, so no quotient
+    that could win is left out; all sources together list a few blocks more than there are, and
+    one partial block each."""
+    whole = Window.partitionBy()
     sure = (
-        goals.withColumn("block", F.greatest(F.lit(1).cast("long"), F.expr(f"total div {blocks}")))
-        .withColumn("sources", F.count("*").over(count))
-        .withColumn("fair", F.col("target") / F.col("block"))
-        .withColumn("all_blocks", F.expr("total div block"))
-        .withColumn("most", F.expr("least(cap div block, ceil(fair * (1 + 2.0D * sources / greatest(all_blocks, 1L))) + 2)"))
+        goals.withColumn("size", F.greatest(F.lit(1).cast("long"), F.expr(f"total div {blocks}")))
+        .withColumn("exact", F.expr(f"size > 1 and (target < {FEW} * size or target + size > cap)"))
+        .withColumn("due", F.expr("least(cap, cast(round(target) as long))"))
+        .withColumn("sources", F.sum(F.expr("if(exact, 0, 1)")).over(whole))
+        .withColumn("fair", F.col("target") / F.col("size"))
+        .withColumn("all_blocks", F.expr("total - cast(round(sum(if(exact, target, 0.0D)) over ()) as long)"))
+        .withColumn("all_blocks", F.expr("greatest(all_blocks, 0L) div size"))
+        .withColumn("most", F.expr("least(cap div size, ceil(fair * (1 + 2.0D * sources / greatest(all_blocks, 1L))) + 2)"))
+        .withColumn("most", F.expr("if(exact, (due + size - 1) div size, most)"))
         .where("most > 0")
     )
     each = sure.withColumn("nth", F.explode(F.expr("sequence(0L, most - 1)")))
-    best = Window.orderBy(F.desc("quotient"), "source_no", "nth")
+    best = Window.orderBy("exact", F.desc("quotient"), "source_no", "nth")
     ranked = each.withColumn("quotient", F.col("target") / (2 * F.col("nth") + 1)).withColumn("rank", F.row_number().over(best) - 1)
-    return ranked.where("rank < all_blocks").select("source_no", "nth", (F.col("rank") % shards).cast("int").alias("shard"), "block")
+    return ranked.where("exact or rank < all_blocks").select(
+        "source_no", "nth", (F.col("rank") % shards).cast("int").alias("shard"), F.expr("if(exact, least(size, due - nth * size), size)").alias("block")
+    )
 
 
 def quotas(blocks: DataFrame) -> DataFrame:
-    """Integer quotas: blocks of each source in each shard."""
-    return blocks.groupBy("shard", "source_no").agg(F.count("*").alias("blocks"))
+    """Integer quotas: blocks of each source in each shard, and their words."""
+    return blocks.groupBy("shard", "source_no").agg(F.count("*").alias("blocks"), F.sum("block").alias("words"))
 
 
 def mix(
@@ -102,7 +113,7 @@ def mix(
     """One row per document: doc_id, size, source_size, target, taken, source, text_crc32."""
     rows = sized(docs, doc_id, text, source, seed)
     goals = settle(targets(rows, weights, most), "targets")
-    won = seats(goals, blocks).groupBy("source_no").agg((F.count("*") * F.first("block")).alias("won"))
+    won = seats(goals, blocks).groupBy("source_no").agg(F.sum("block").alias("won"))
     plan = settle(goals.join(won, "source_no", "left").fillna(0, ["won"]).withColumnRenamed("source", "name"), "quotas")
     joined = rows.join(plan, rows["source"].eqNullSafe(plan["name"])).drop("name")
     placed = starts(joined, "source_no", "order", F.col("size"), ["text_crc32", "size"], "start")

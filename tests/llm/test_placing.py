@@ -89,6 +89,25 @@ def test_seats_are_the_highest_quotients(spark):
     assert {r.n for r in mixing.quotas(won).groupBy("shard").agg(F.sum("blocks").alias("n")).collect()} == {25}
 
 
+def test_small_sources_and_caps_are_taken_to_the_word(spark):
+    rows = [(i, "w " * 2500, "ab"[i % 2]) for i in range(120)] + [(200, "v " * 5, "c"), (201, "v " * 4, "d"), (202, "u " * 100, "e")]
+    got = {r.doc_id: r for r in mixing.mix(docs_of(spark, rows)).collect()}
+    assert sum(r.size for r in got.values()) // mixing.BLOCKS == 18
+    assert [got[i].taken for i in (200, 201, 202)] == [15, 12, 300]
+    assert Counter(r.doc_id for r in mixing.mixed(docs_of(spark, rows)).where("doc_id >= 200").collect()) == {200: 3, 201: 3, 202: 3}
+    assert 0 <= sum(r.size - r.taken for r in got.values()) < 18
+    assert all(r.taken == r.size for r in mixing.mix(docs_of(spark, rows), most=1).collect())
+
+
+def test_more_sources_than_blocks(spark):
+    rows = [(i, "w " * (20 + i), f"s{i:02}") for i in range(40)]
+    got = mixing.mix(docs_of(spark, rows), blocks=8).collect()
+    assert all(abs(r.taken - r.target) <= 0.5 for r in got)
+    goals = mixing.targets(mixing.sized(docs_of(spark, rows), "doc_id", "text", "source", "s"))
+    words = mixing.quotas(mixing.seats(goals, blocks=8, shards=4)).groupBy("source_no").agg(F.sum("words").alias("n")).collect()
+    assert sorted(r.n for r in words) == sorted(r.taken for r in got)
+
+
 def test_mixed_documents(spark):
     rows = [(i, "w " * 10, "a" if i < 90 else "b") for i in range(100)]
     shares = {r.doc_id: r.taken for r in mixing.mix(docs_of(spark, rows)).collect()}
