@@ -1,11 +1,14 @@
-"""Line dedup by pairwise alignment.
-
-Documents overlap when they share lines. Every line that more than one document has belongs to the
-first document with it, and later documents are paired with the owners of their lines: a line that
-a third of all documents share gives as many pairs as documents, never all pairs. Each pair is
-aligned by patience diff: lines that both have once are anchors, their longest increasing run
-fixes the order, and repeated lines are matched in the gaps between. Runs of aligned lines that follow
-each other in both documents are common blocks; blocks of enough words go from the later document.
+"""Line dedup by pairwise local alignment.
+
+A common block is a run of lines that follow each other in two documents, blank lines aside; blocks
+of enough words go from the later document, wherever they stand in the earlier one. All pairs are
+answered at once: from each line and up to each line, the shortest stretch of enough words is a
+window, and a window belongs to the first document that has it. A block of enough words is the union
+of its windows, so the lines to go are those in a window of an earlier document; a window that a third
+of all documents share gives as many rows as documents, never all pairs.
+`aligned` and `blocks` align one pair by patience diff: lines that both have once are anchors, their
+longest increasing run fixes the order, and repeated lines are matched in the gaps between. What
+it finds for any pair is in the windows too; tests compare the two.
 
 Defined cases: documents are ordered by (doc_id, hash of the text), documents without doc_id last;
 rows equal in both are one document, answered alike; null texts have no lines; blank lines stay and
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +29,9 @@ from poledger.plans.staging import settle
 
 LEAST_WORDS = 10  # of a common block
 
+_BASE = 0x9E3779B97F4A7C15  # of window keys; odd, so it has an inverse
+
+_WINDOWS = "doc_id long, sum long, first int, stop int, key long"
 _FOUND = "doc_id long, sum long, gone array<int>, gone_words long"
 
 
@@ -52,17 +59,14 @@ def aligned(shared: list[tuple[list[int], list[int]]]) -> list[tuple[int, int]]:
     """Patience diff. `shared`: for each common line its places in the later and the earlier
     document. Pairs of places that are matched, in order."""
     once = sorted((a[0], b[0]) for a, b in shared if len(a) == 1 and len(b) == 1)
-    anchors = rising(once)
-    rest = sorted(p for a, b in shared if len(a) > 1 or len(b) > 1 for p in zip(sorted(a), sorted(b), strict=False))
+    rest = [(sorted(a), sorted(b)) for a, b in shared if len(a) > 1 or len(b) > 1]
     out, before = [], (-1, -1)
-    i = 0
-    for anchor in [*anchors, (float("inf"), float("inf"))]:
+    for anchor in [*rising(once), (float("inf"), float("inf"))]:
         gap = []
-        while i < len(rest) and rest[i][0] < anchor[0]:
-            if before[1] < rest[i][1] < anchor[1]:
-                gap.append(rest[i])
-            i += 1
-        out += rising(gap)
+        for places in rest:
+            inside = ([x for x in places[k][bisect_left(places[k], before[k] + 1):] if x < anchor[k]] for k in (0, 1))
+            gap += zip(*inside, strict=False)
+        out += rising(sorted(gap))
         out.append(anchor)
         before = anchor
     return out[:-1]
@@ -79,37 +83,66 @@ def blocks(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     return out
 
 
+def windows(words: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of documents whose lines stand one after another, `sizes` lines each: first
+    line, line after the last, and key, which depends on the lines only."""
+    begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    end = begin + np.repeat(sizes, sizes)
+    before = np.concatenate(([0], np.cumsum(words)))
+    at = np.arange(len(words))
+    stop = np.searchsorted(before, before[:-1] + least)  # of the shortest from each line
+    first = np.searchsorted(before, before[1:] - least, "right") - 1  # of the shortest up to each line
+    on, back = stop <= end, first >= begin
+    both = np.unique(np.concatenate((np.stack((at[on], stop[on]), 1), np.stack((first[back], at[back] + 1), 1))), axis=0)
+    first, stop = both[:, 0], both[:, 1]
+    power = np.full(len(words), _BASE, np.uint64).cumprod(dtype=np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), (hashes.view(np.uint64) * power).cumsum(dtype=np.uint64)))
+    shift = np.full(len(words), pow(_BASE, -1, 2**64), np.uint64).cumprod(dtype=np.uint64)
+    return first, stop, ((sums[stop] - sums[first]) * shift[first] + (stop - first).astype(np.uint64)).view(np.int64)
+
+
 def removals(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, sum, gone, gone_words): line numbers (from 0) that go from each later document."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("sum"), lines_of(F.col(text)).alias("lines"))
-    dense = (  # numbers without blank lines, counted inside the row before it is split
-        own.select("doc_id", "sum", F.posexplode(F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("raw"), x.alias("line"))), lambda s: s["line"].rlike(r"[^\x20\x09-\x0D]"))).alias("pos", "s"))
-        .select("doc_id", "sum", "pos", "s.raw", F.xxhash64(F.lit("line"), F.col("s.line")).alias("h"), F.regexp_count(F.col("s.line"), F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))
-    )
-    lines = settle(dense, "lines").withColumn("doc", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sum"))
-    owners = lines.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("h", "owner")
-    met = settle(lines.join(owners, "h"), "shared-lines")
-    # rows equal in doc_id and text give each line twice: places are sets
-    first = met.where("doc = owner").groupBy("h").agg(F.array_sort(F.collect_set("pos")).alias("there"))
-    later = met.where("doc <> owner").groupBy("h", "doc", "owner").agg(F.array_sort(F.collect_set(F.struct("pos", "raw", "words"))).alias("here"))
-    pairs = later.join(first, "h").groupBy("doc", "owner").agg(F.collect_list(F.struct("here", "there")).alias("shared"))
-
-    def align(batches):
+    count = F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")))
+    hashed = F.transform("lines", lambda x: F.xxhash64(F.lit("line"), x))
+    forms = settle(own.select("doc_id", "sum", count.alias("words"), hashed.alias("hashes")), "lines")
+    least = max(1, least_words)
+
+    def cut(batches):
+        for b in batches:
+            words = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())
+            filled = words > 0  # blank lines part no block
+            sizes = np.bincount(row[filled], minlength=b.num_rows)
+            first, stop, key = windows(words[filled], b.column(3).flatten().to_numpy(zero_copy_only=False)[filled], sizes, least)
+            begin, doc = np.cumsum(sizes) - sizes, row[filled][first]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(first - begin[doc], pa.int32()), pa.array(stop - begin[doc], pa.int32()), pa.array(key)],
+                names=["doc_id", "sum", "first", "stop", "key"],
+            )
+
+    def fill(batches):
         for b in batches:
             out: dict[str, list] = {"doc_id": [], "sum": [], "gone": [], "gone_words": []}
             for i in range(b.num_rows):
-                shared = b.column(2)[i].as_py()
-                known = {x["pos"]: x for s in shared for x in s["here"]}
-                matched = aligned([([x["pos"] for x in s["here"]], s["there"]) for s in shared])
-                gone = [known[p] for run in blocks(matched) if sum(known[p]["words"] for p, _ in run) >= least_words for p, _ in run]
-                if gone:
-                    for name, value in zip(out, (b.column(0)[i].as_py(), b.column(1)[i].as_py(), [x["raw"] for x in gone], sum(x["words"] for x in gone)), strict=True):
-                        out[name].append(value)
+                words = np.array(b.column(2)[i].as_py())
+                raw = np.flatnonzero(words)
+                spans = b.column(3)[i].values
+                edge = np.bincount(spans.field(0).to_numpy(), minlength=len(raw) + 1) - np.bincount(spans.field(1).to_numpy(), minlength=len(raw) + 1)
+                gone = raw[np.cumsum(edge[:-1]) > 0]
+                for name, value in zip(out, (b.column(0)[i].as_py(), b.column(1)[i].as_py(), gone, int(words[gone].sum())), strict=True):
+                    out[name].append(value)
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    found = pairs.select("doc.doc_id", "doc.sum", "shared").mapInArrow(align, _FOUND)
-    return found.groupBy("doc_id", "sum").agg(F.array_sort(F.flatten(F.collect_list("gone"))).alias("gone"), F.sum("gone_words").cast("long").alias("gone_words"))
+    found = forms.mapInArrow(cut, _WINDOWS).withColumn("doc", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sum"))
+    owners = found.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("key", "owner")
+    # rows equal in doc_id and text give each window twice: spans are sets
+    later = found.join(owners, "key").where("doc <> owner").groupBy("doc").agg(F.collect_set(F.struct("first", "stop")).alias("spans"))
+    one = forms.groupBy("doc_id", "sum").agg(F.first("words").alias("words"))
+    met = one.join(later, one["doc_id"].eqNullSafe(later["doc.doc_id"]) & (one["sum"] == later["doc.sum"]))
+    return met.select(one["doc_id"], one["sum"], "words", "spans").mapInArrow(fill, _FOUND)
 
 
 def _joined(docs: DataFrame, least_words: int, doc_id: str, text: str) -> tuple[DataFrame, Column]:

@@ -198,6 +198,48 @@ def test_line_blocks_go_from_later_documents(spark):
     assert {r.doc_id: r.text for r in found} == brute_lines(rows, 8)
 
 
+def brute_pairs(rows, least):
+    """(by runs, by patience): per document the lines that go when every pair is looked at."""
+    docs = sorted({(i, t) for i, t in rows})
+    runs, patience = {}, {}
+    for n, (i, t) in enumerate(docs):
+        here = [(k, x) for k, x in enumerate(t.split("\n")) if x.strip()]
+        runs[i], patience[i] = set(), set()
+        for _, u in docs[:n]:
+            there = [x for x in u.split("\n") if x.strip()]
+            shared = [([a for a, y in enumerate(here) if y[1] == x], [b for b, y in enumerate(there) if y == x]) for x in {x for _, x in here} & set(there)]
+            every = {(a, b) for places in shared for a in places[0] for b in places[1]}
+            chains = [[(a + k, b + k) for k in range(len(here)) if all((a + j, b + j) in every for j in range(k + 1))] for a, b in every if (a - 1, b - 1) not in every]
+            for out, blocks in ((runs, chains), (patience, line_dedup.blocks(line_dedup.aligned(shared)))):
+                for block in blocks:
+                    if sum(len(here[a][1].split()) for a, _ in block) >= least:
+                        out[i] |= {here[a][0] for a, _ in block}
+    return runs, patience
+
+
+def test_blocks_of_many_owners_go_whole(spark):
+    block = [f"short line {k}" for k in range(12)]
+    rows = [(k, f"own {k}\n{block[k]}") for k in range(6)] + [(10, "\n".join(block)), (11, "\n".join(block)), (12, "new\n" + "\n\n".join(block[3:9]) + "\nend")]
+    rows += [(20, "a b c\nd e f\na b c\ng h i\na b c\nj k l"), (21, "x\na b c\nd e f\na b c\ng h i\na b c\nj k l"), (22, "g h i\na b c\nj k l\nd e f")]
+    got = {r.doc_id: r for r in line_dedup.removals(docs_of(spark, rows), 10).collect()}
+    assert {i: (list(r.gone), r.gone_words) for i, r in got.items()} == {11: (list(range(12)), 36), 12: ([1, 3, 5, 7, 9, 11], 18), 21: (list(range(1, 7)), 18)}
+
+
+def test_line_blocks_match_all_pairs(spark):
+    rng = random.Random(8)
+    lines = [f"l{k} " + "w " * rng.randrange(4) for k in range(9)]
+    rows = [(i, "\n".join(rng.choice([*lines, *lines, "", f"own {i}"]) for _ in range(rng.randrange(1, 25)))) for i in range(40)]
+    rows += [(100 + i, rows[rng.randrange(40)][1] + "\n" + rows[rng.randrange(40)][1]) for i in range(20)]
+    got = {r.doc_id: set(r.gone) for r in line_dedup.removals(docs_of(spark, rows), 7).collect()}
+    runs, patience = brute_pairs(rows, 7)
+    assert got == {i: v for i, v in runs.items() if v}
+    assert all(v <= runs[i] for i, v in patience.items()) and any(patience.values())
+
+
+def test_repeated_lines_are_matched_inside_their_gap():
+    assert line_dedup.aligned([([1], [1]), ([0, 2], [2, 5])]) == [(1, 1), (2, 2)]
+
+
 def test_patience_takes_unique_lines_first_and_then_repeats():
     assert line_dedup.aligned([([0], [5]), ([1], [6]), ([2], [1])]) == [(0, 5), (1, 6)]
     assert line_dedup.aligned([([0, 3], [0, 2]), ([1], [1])]) == [(0, 0), (1, 1), (3, 2)]
