@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 # Public licence texts.
 _PERMIT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -63,6 +65,24 @@ TEXTS = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
 ]
 
+# Titles that a full text may begin with.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "(The MIT License)", "License: MIT"],
+    "MIT-0": ["MIT-0", "MIT No Attribution", "MIT No Attribution License"],
+    "ISC": ["ISC", "ISC License", "The ISC License", "ISC License (ISC)", "ISC License (ISCL)"],
+    "0BSD": ["0BSD", "BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD 0-Clause License"],
+    "BSD-2-Clause": ["BSD License", "BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD License", "BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License"],
+}
+FILES = Path(__file__).with_name("license_files")  # full texts too long for this file, by id
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """TEXTS, their full texts under every title, and the texts of FILES."""
+    titled = [(i, f"{title}\n\n{text}") for i, text in TEXTS if "\n\n" in text for title in TITLES.get(i, [])]
+    return [*TEXTS, *titled, *((f.stem, f.read_text("utf-8")) for f in sorted(FILES.glob("*.txt")))]
+
+
 # Spellings that count as one, (as written, as compared).
 SPELLINGS = [
     ("licence", "license"), ("sub license", "sublicense"), ("copyright owner", "copyright holder"), ("per cent", "percent"),

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poledger.llm.license_texts import SPELLINGS, TEXTS
+from poledger.llm.license_texts import SPELLINGS, TEXTS, full_texts
 from poledger.plans.staging import settle
 
 #: A line that only says who holds the rights.
@@ -33,9 +33,12 @@ def canonical(text: Column) -> Column:
     return out
 
 
-def known(spark: SparkSession, texts: Sequence[tuple[str, str]] = tuple(TEXTS)) -> DataFrame:
-    """(digest, license_id) of (id, text) pairs."""
-    form = spark.createDataFrame(list(texts), "license_id string, text string").select("license_id", canonical(F.col("text")).alias("form"))
+def known(spark: SparkSession, texts: Sequence[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
+    """(digest, license_id) of (id, text) pairs, or of a table of license_id and text; without
+    them, of the texts that come with this package."""
+    if not isinstance(texts, DataFrame):
+        texts = spark.createDataFrame(full_texts() if texts is None else list(texts), "license_id string, text string")
+    form = texts.select("license_id", canonical(F.col("text")).alias("form"))
     return form.where("form <> ''").groupBy(F.sha2(F.col("form").cast("binary"), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 

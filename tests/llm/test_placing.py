@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,6 +166,19 @@ def test_proximity(spark):
     assert len(need) == decontaminate.RAREST and found[0][0] == 1 and found[9] == [1, 2, 3, 4] and set(found[0]) <= set(found[2]) <= set(found[9])
 
 
+def test_full_texts_and_titles_are_known(spark):
+    mit, bsd = licenses.TEXTS[0][1], next(t for i, t in licenses.TEXTS if i == "BSD-3-Clause")
+    apache = (Path(licenses.__file__).with_name("license_files") / "Apache-2.0.txt").read_text()
+    docs = [(1, f"The MIT License (MIT)\n\nCopyright (c) 2020 A B\n\n{mit}", None), (2, f"BSD 3-Clause License\n\n{bsd}", None), (3, apache.upper(), None), (4, "MIT License", None), (5, f"{mit} and more", None)]
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs_of(spark, docs), licenses.known(spark)).collect()}
+    assert got == {1: "MIT", 2: "BSD-3-Clause", 3: "Apache-2.0", 4: None, 5: None}
+    own = spark.createDataFrame([("Own-1.0", "Do as you like.")], "license_id string, text string")
+    more = licenses.known(spark, own).union(licenses.known(spark))
+    assert [r.license_id for r in licenses.scan(docs_of(spark, [(1, "do as you like", None)]), more).collect()] == ["Own-1.0"]
+    ids = {r.license_id for r in licenses.known(spark).collect()}
+    assert ids >= {"GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0"}
+
+
 def test_licenses(spark):
     texts = [("L-1", "Permission to USE this\nlicence, for any purpose."), ("L-2", "Released under L."), ("L-0", "released UNDER l")]
     docs = [
