@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poledger.llm import chat_format, decontaminate, exact_dedup, licenses, line_dedup, mixing, ngram_join, quality, sharding, warc
+from poledger.llm import (
+    chat_format, decontaminate, exact_dedup, licenses, line_dedup, mixing, ngram_join, prefix_trie, quality, sharding, warc, whitening,
+)
 from poledger.plans.staging import place, settle
 
 
@@ -161,6 +163,47 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_layout(_table(spark, sf_dir, "documents"), [1.0] * 16)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = r"""
+WITH r AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, k) AS pos, k, n FROM (
+    SELECT conv_id, turn, coalesce(role, '') AS role, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+      len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n
+    FROM conversations WHERE conv_id IS NOT NULL)
+), i AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, turns, xor(4294967295, list_reduce([4294967295] || range(0, 8 * length(conv_id::VARCHAR)),
+    lambda a, b: CASE WHEN (xor(a, CASE WHEN b % 8 = 0 THEN ord(substr(conv_id::VARCHAR, (b // 8)::INT + 1, 1)) ELSE 0 END) & 1) = 1
+      THEN xor(xor(a, CASE WHEN b % 8 = 0 THEN ord(substr(conv_id::VARCHAR, (b // 8)::INT + 1, 1)) ELSE 0 END) >> 1, 3988292384)
+      ELSE xor(a, CASE WHEN b % 8 = 0 THEN ord(substr(conv_id::VARCHAR, (b // 8)::INT + 1, 1)) ELSE 0 END) >> 1 END)) % 4 AS h
+  FROM (SELECT conv_id, count(*) AS turns FROM r GROUP BY conv_id)
+), j AS (SELECT i.*, least(i.h, coalesce(b.turns, 0)) AS taken FROM i LEFT JOIN i b ON b.conv_id = i.base
+), t AS (
+  SELECT j.conv_id, pos, k, n FROM j JOIN r ON r.conv_id = j.base AND pos <= h
+  UNION ALL SELECT j.conv_id, pos - h + taken, k, n FROM j JOIN r ON r.conv_id = j.conv_id AND pos > h
+), q AS (
+  SELECT conv_id, 0 AS depth, '' AS path, 0 AS n FROM i
+  UNION ALL SELECT conv_id, pos, array_to_string(list(k) OVER (PARTITION BY conv_id ORDER BY pos), ''), n FROM t
+), node AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS words FROM q GROUP BY path, depth
+), kids AS (SELECT left(path, length(path) - 64) AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1
+), ends AS (
+  SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max_by(path, depth) AS path FROM q GROUP BY conv_id) GROUP BY path
+), whole AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (path)
+), sums AS (
+  SELECT q.path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+  FROM whole v JOIN q ON q.conv_id = v.conv_id AND q.depth <= v.depth GROUP BY q.path
+)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM whole w JOIN sums USING (path) LEFT JOIN ends USING (path) LEFT JOIN node p ON w.depth > 0 AND p.path = left(w.path, length(w.path) - 64)
+"""
+
+
 #: name -> (query, SQL or None where SQL cannot express it)
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
@@ -173,4 +216,6 @@ QUERIES = {
     "op8_chat_format": (op8_chat_format, None),
     "op9_ngram_join": (op9_ngram_join, None),
     "op10_sharding": (op10_sharding, None),
+    "op11_whitening": (op11_whitening, None),
+    "op12_prefix_trie": (op12_prefix_trie, OP12_SQL),
 }

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def test_query_matches_sql(spark, name):
     run, sql = QUERIES[name]
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = run(spark, SF)
     cols = sorted(df.columns)
