@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poledger.llm import (
-    chat_format, decontaminate, exact_dedup, licenses, line_dedup, mixing, ngram_join, prefix_trie, quality, sharding, warc, whitening,
+    chat_format, decontaminate, exact_dedup, language_id, licenses, line_dedup, mixing, ngram_join, prefix_trie, quality, sharding, warc, whitening,
 )
 from poledger.plans.staging import place, settle
 
@@ -204,6 +204,11 @@ FROM whole w JOIN sums USING (path) LEFT JOIN ends USING (path) LEFT JOIN node p
 """
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.labelled(docs, language_id.fit(docs))
+
+
 #: name -> (query, SQL or None where SQL cannot express it)
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, OP1_SQL),
@@ -218,4 +223,5 @@ QUERIES = {
     "op10_sharding": (op10_sharding, None),
     "op11_whitening": (op11_whitening, None),
     "op12_prefix_trie": (op12_prefix_trie, OP12_SQL),
+    "op13_language_id": (op13_language_id, None),
 }

@@ -144,10 +144,12 @@ def fit(x: DataFrame, passes: int = PASSES) -> tuple[Axes, DataFrame]:
     found.sort(key=lambda r: r["at"])
     d = len(found)
     axes = Axes(found[0]["n"] if d else 0, [int(r["s"]) for r in found])
+    if not d:
+        return axes, rows
     context, eps = x.sparkSession.sparkContext, np.finfo(float).eps
     factors: list[np.ndarray] = []
     trace, gram = 0.0, np.zeros((d, d))
-    for step in range(passes if d else 0):
+    for step in range(passes):
         state = context.broadcast(Axes(axes.n, axes.sums, factors))
         gram = _gram(rows, lambda b: state.value.orthogonal(b), d)  # noqa: B023
         if step == 0:
