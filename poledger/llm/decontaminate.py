@@ -140,7 +140,7 @@ def contamination(
     hits = settle(phrase_matches(index, docs, doc_id, text), "hits")
     key = ["doc_id", "sum"]
     words_hit = hits.select(*key, F.explode("at").alias("pos")).distinct().groupBy(*key).agg(F.count("*").alias("n_hit"))
-    texts_hit = hits.select(*key, "seq").distinct().join(index.items, "seq")
+    texts_hit = hits.select(*key, "seq").distinct().join(index.items, "seq").select(*key, "item_id").distinct()
     items_hit = texts_hit.groupBy(*key).agg(
         F.count("*").alias("n_items"), F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items")
     )

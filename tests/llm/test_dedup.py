@@ -232,8 +232,72 @@ def test_line_blocks_match_all_pairs(spark):
     rows += [(100 + i, rows[rng.randrange(40)][1] + "\n" + rows[rng.randrange(40)][1]) for i in range(20)]
     got = {r.doc_id: set(r.gone) for r in line_dedup.removals(docs_of(spark, rows), 7).collect()}
     runs, patience = brute_pairs(rows, 7)
-    assert got == {i: v for i, v in runs.items() if v}
-    assert all(v <= runs[i] for i, v in patience.items()) and any(patience.values())
+    assert got == {i: v for i, v in brute_rounds(rows, 7).items() if v}
+    assert all(v <= runs[i] for i, v in got.items())
+    found, wanted = sum(len(got.get(i, set()) & v) for i, v in patience.items()), sum(map(len, patience.values()))
+    assert wanted and found >= 0.99 * wanted  # pairs with other than owners may break ties of order differently
+
+
+def longest_rise(pairs):
+    """Length of the longest run that rises in both places, by trying all."""
+    best = [1] * len(pairs)
+    for a in range(len(pairs)):
+        best[a] = 1 + max((best[b] for b in range(a) if pairs[b][0] < pairs[a][0] and pairs[b][1] < pairs[a][1]), default=0)
+    return max(best, default=0)
+
+
+def brute_rounds(rows, least):
+    """Owners of all stretches by their lines; every pair aligned; what stays looks for an owner again."""
+    docs = sorted({(i, t) for i, t in rows})
+    held, raw, gone = {}, {}, {}
+    for i, t in docs:
+        lines = [(k, x) for k, x in enumerate(t.split("\n")) if x.strip()]
+        size = [len(x.split()) for _, x in lines]
+        raw[i], gone[i], spans, times = [k for k, _ in lines], set(), set(), {}
+        for a in range(len(lines)):
+            spans |= {next(((a, b) for b in range(a + 1, len(lines) + 1) if sum(size[a:b]) >= least), None)}
+            spans |= {next(((b, a + 1) for b in range(a, -1, -1) if sum(size[b : a + 1]) >= least), None)}
+        held[i] = []
+        for a, b in sorted(spans - {None}):
+            key = tuple(x for _, x in lines[a:b])
+            times[key] = times.get(key, 0) + 1
+            held[i].append((a, b, (key, times[key])))
+    while True:
+        owners = {}
+        for i, _ in docs:
+            for a, _, key in held[i]:
+                owners.setdefault(key, (i, a))
+        again = {}
+        for i, _ in docs:
+            pairs = {}
+            for a, b, key in held[i]:
+                if owners[key][0] != i:
+                    pairs.setdefault(owners[key][0], []).append((a, owners[key][1], b, key))
+            taken, crossed = set(), []
+            for found in pairs.values():
+                found.sort(key=lambda p: p[:3])
+                heads = [p for k, p in enumerate(found) if not k or p[0] != found[k - 1][0]]
+                run = set(line_dedup.aligned([([p[0]], [p[1]]) for p in heads]))
+                assert len(run) == longest_rise(heads)
+                for p in found:
+                    if p[:2] in run:
+                        taken |= set(range(p[0], p[2]))
+                    else:
+                        crossed.append(p)
+            gone[i] |= {raw[i][k] for k in taken}
+            again[i] = [(a, b, key) for a, _, b, key in crossed if not set(range(a, b)) <= taken]
+        held = again
+        if not any(held.values()):
+            return gone
+
+
+def test_lines_in_another_order_stay(spark):
+    lines = [f"line {k} has more than ten words of its own and so it is a block" for k in range(3)]
+    rows = [(1, "\n".join(lines), "x", 7, None), (2, "\n".join(lines[::-1]), "y", 8, None), (3, "\n".join(lines[::-1]), "z", 9, 1), (4, lines[1], "z", 9, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string, gone_words int, doc int")
+    got = {r.doc_id: r for r in line_dedup.line_report(docs).collect()}
+    assert [got[i].n_gone for i in (1, 2, 3, 4)] == [0, 1, 3, 1]
+    assert line_dedup.without_copies(docs).columns == docs.columns
 
 
 def test_repeated_lines_are_matched_inside_their_gap():
@@ -249,3 +313,11 @@ def test_patience_takes_unique_lines_first_and_then_repeats():
 
 def test_line_report_of_nothing(spark):
     assert line_dedup.line_report(docs_of(spark, [])).count() == 0
+
+
+def test_links_of_very_long_texts_are_exact():
+    """671,109 of 730,324 and 730,325 n-grams: 100 * common = 85 * union, which a float32 product misses."""
+    common, a, b = 671_109, 730_324, 730_325
+    sets = [np.arange(a, dtype=np.uint64), np.r_[np.arange(common), np.arange(2_000_000, 2_000_000 + b - common)].astype(np.uint64)]
+    counts = ngram_join.overlaps(sets, None)
+    assert counts.dtype == np.int64 and counts[0, 1] == common and 100 * counts[0, 1] >= 85 * (a + b - counts[0, 1])

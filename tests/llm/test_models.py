@@ -80,7 +80,7 @@ def test_whitening_of_little(spark):
     assert whitening.whiten(frame(spark, [(1, []), (2, [])])).count() == 0
     assert whitening.whiten(frame(spark, [(1, None)])).count() == 0
     one = whitening.whiten(frame(spark, [(1, [1.0, 2.0]), (None, [2.0, 2.0])])).collect()
-    assert sorted((str(r.vec_id), r.component, abs(round(r.whitened, 9)), r.explained) for r in one) == [("1", 1, 1.0, 1.0), ("None", 1, 1.0, 1.0)]
+    assert sorted((str(r.vec_id), r.component, abs(round(r.whitened, 9)), round(r.explained, 9)) for r in one) == [("1", 1, 1.0, 1.0), ("None", 1, 1.0, 1.0)]
 
 
 def test_factors_orthogonalise_at_any_condition():
