@@ -237,8 +237,13 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id") & has_letter("text"))
     order = F.md5(F.concat(F.lit(f"{SEED}:"), F.col("doc_id").cast("string")))
+    # counts of hash ranges tell which of them hold the first rows of a language, so only those are ranked
+    rows = known.select("doc_id", "lang", order.alias("order"), F.substring(order, 1, 3).alias("bucket"))
+    sooner = Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy("lang", "bucket").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(sooner), F.lit(0)))
     place = Window.partitionBy("lang").orderBy("order", "doc_id")
-    ranked = known.select("doc_id", "lang", order.alias("order")).withColumn("place", F.row_number().over(place)).where(F.col("place") <= sample)
+    early = rows.join(ahead.where(F.col("ahead") < sample), ["lang", "bucket"], "left_semi")
+    ranked = early.withColumn("place", F.row_number().over(place)).where(F.col("place") <= sample)
     chosen = ranked.orderBy("place", "lang", "doc_id").limit(sample).select(F.col("doc_id").alias("chosen_id")).distinct()
     # the sample is bounded, so its ids go to the documents; copies of one id fold before the shuffle
     texts = known.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("one"))
