@@ -195,32 +195,6 @@ def item_pages(t):
 
 
 # --- grounding
-def grounding_values(header, lines):
-    """Identifiers to look up, with the page they were read from where known."""
-    from poledger.refdata import GROUNDED_HEADER_FIELDS
-
-    head = header.select(
-        "doc_id",
-        F.inline(F.array(*[
-            F.struct(F.lit(f).alias("field"), F.lit(None).cast("int").alias("line_no"),
-                     F.col(f).alias("value"), F.lit(1).alias("page_no"))
-            for f in GROUNDED_HEADER_FIELDS
-        ])),
-    )
-    page = F.try_element_at(
-        F.transform(F.regexp_extract_all("call_id", F.lit(r"\ALI-p(\d+)\z"), F.lit(1)), lambda p: p.cast("int")),
-        F.lit(1),
-    )
-    rows = lines.select(
-        "doc_id",
-        F.inline(F.array(*[
-            F.struct(F.lit(f).alias("field"), F.col("line_no"), F.col(f).alias("value"), page.alias("page_no"))
-            for f in ("item_code", "hsn_sac")
-        ])),
-    )
-    return head.unionByName(rows).filter("value is not null and value <> ''")
-
-
 _VALUES = (
     " UNION ALL ".join(
         f"SELECT doc_id, '{f}' AS field, CAST(NULL AS INT) AS line_no, {f} AS value FROM po_header WHERE {f} IS NOT NULL"
@@ -248,7 +222,7 @@ GROUND_VIEWS = {**V, "ground_values": _VALUES, "corpus": _CORPUS, "verdicts": _V
 
 @query("grounding", "SELECT doc_id, value, verdict FROM verdicts", GROUND_VIEWS)
 def grounding(t):
-    return pages.ground(grounding_values(t("po_header"), t("po_line")), features(t))
+    return pages.ground(pages.grounding_values(t("po_header"), t("po_line")), features(t))
 
 
 # --- printed lines and values
@@ -298,16 +272,16 @@ def print_values(t):
 @query(
     "print_line_values",
     rf"""SELECT doc_id, line_no, {indian("taxable_value")} AS taxable,
-               CAST(quantity AS VARCHAR) AS qty,
+               {indian("quantity", 3)} AS qty,
                regexp_replace(regexp_replace(CAST(gst_rate AS VARCHAR), '0+$', ''), '\.$', '') AS gst,
                CASE WHEN line_delivery_date IS NOT NULL THEN
                  CAST(day(line_delivery_date) AS VARCHAR) || CASE WHEN day(line_delivery_date) BETWEEN 11 AND 13 THEN 'th'
                    ELSE CASE day(line_delivery_date) % 10 WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END END
                  || ' ' || strftime(line_delivery_date, '%B') || ' ' || CAST(year(line_delivery_date) AS VARCHAR) END AS due
-        FROM po_line WHERE quantity < 1000""",
+        FROM po_line""",
 )
 def print_line_values(t):
-    return t("po_line").filter("quantity < 1000").select(
+    return t("po_line").select(
         "doc_id", "line_no", printing.money(F.col("taxable_value")).alias("taxable"),
         printing.quantity(F.col("quantity")).alias("qty"),
         printing.percent(F.col("gst_rate")).alias("gst"),

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from poledger.catalog.ingest import PARSED, parsed
+from poledger.catalog.chain import ROUND1_VIEWS, ROUND2_VIEWS, outcome, planned, plans
 from poledger.catalog.pages import ROW_VIEWS, features
 from poledger.catalog.pages import V as PAGE_VIEWS
 from poledger.catalog.registry import query
-from poledger.catalog.rules import TAX_VIEWS, P, checked
+from poledger.catalog.rules import TAX_VIEWS
 from poledger.operators import pages, routing, rules
+from poledger.plans import chain
 from poledger.plans.staging import settle
 from poledger.plans.validation import merged_from
 
@@ -63,76 +64,49 @@ def request_prefix_hash(t):
     return routing.request_prefix(features(t), counts).select("doc_id", "page_no", "part_hash")
 
 
-# Retries on four rules that fail independently of each other.
-RETRY_RULES = ("schema", "gstin", "line_arithmetic", "duplicate_po")
-_CHECKS = " UNION ALL ".join(
-    f"SELECT doc_id, {i} AS o, '{r}' AS rule, passed, retry_target FROM ({checked(r, P[r])}) c{i}" for i, r in enumerate(RETRY_RULES)
-)
-_CALLS = """SELECT DISTINCT doc_id, page_no AS seq, call_id, CASE WHEN call_id = 'H' THEN 2000 ELSE 6000 END AS max_tokens
-    FROM call_answer WHERE attempt = 'first'"""
-_RETRY = """SELECT DISTINCT c.doc_id, c.seq, c.call_id, 'po-accurate' AS alias, c.max_tokens + 4000 AS max_tokens
-    FROM all_calls c JOIN checks k ON k.doc_id = c.doc_id AND NOT passed
-    WHERE (c.call_id = 'H' AND retry_target IN ('H', 'both')) OR (c.call_id <> 'H' AND retry_target IN ('LI', 'both')) OR c.call_id = retry_target"""
-RETRY_VIEWS = {**TAX_VIEWS, "checks": _CHECKS, "all_calls": _CALLS, "retries": _RETRY}
-
-
-def _calls(t):
-    return t("call_answer").filter("attempt = 'first'").select(
-        "doc_id", F.col("page_no").cast("int").alias("seq"), "call_id",
-        F.when(F.col("call_id") == "H", "header").otherwise("lines").alias("kind"),
-        F.when(F.col("call_id") == "H", 2000).otherwise(6000).alias("max_tokens"),
-    )
+# --- the two rounds: verdicts of all eleven rules over the merged answers choose what runs again
+@query("calls_to_retry", "SELECT doc_id, CAST(seq AS INT) AS seq, call_id, alias, max_tokens FROM wanted", ROUND1_VIEWS)
+def calls_to_retry(t):
+    return routing.calls_to_retry(outcome(t).first.checks, planned(t))
 
 
-def _checks(t):
-    return settle(rules.checks(merged_from(t), RETRY_RULES), "checks")
+@query("retry_gate", "SELECT doc_id, retry, skipped FROM gate", ROUND1_VIEWS)
+def retry_gate(t):
+    return outcome(t).gate.withColumn("skipped", F.regexp_replace("skipped", r"^(retry deadline): .*", "$1"))
 
 
-@query("calls_to_retry", 'SELECT doc_id, CAST(seq AS INT) AS seq, call_id, alias, max_tokens FROM retries', RETRY_VIEWS)
-def calls_to_retry(t):
-    return routing.calls_to_retry(_checks(t), _calls(t))
+@query("round_checks", "SELECT doc_id, 1 AS round, rule, passed, retry_target FROM r1_checks UNION ALL SELECT doc_id, 2, rule, passed, retry_target FROM r2_checks", ROUND2_VIEWS)
+def round_checks(t):
+    """Verdicts of both rounds, a row per document, round and rule."""
+    out = outcome(t)
+    cols = ("doc_id", "round", "rule", "passed", "retry_target")
+    rounds = [r.checks.withColumn("round", F.lit(r.number)).select(*cols) for r in (out.first, out.second)]
+    return rounds[0].unionByName(rounds[1])
 
 
-@query(
-    "retry_gate",
-    """SELECT doc_id, NOT passed AND skipped IS NULL AS retry, skipped FROM (
-         SELECT d.doc_id, passed, CASE WHEN passed THEN NULL WHEN dup THEN 'not retryable: duplicate_po'
-            WHEN s > 40 THEN 'retry deadline' WHEN r.doc_id IS NULL THEN 'no call to retry' END AS skipped
-         FROM (SELECT doc_id, bool_and(passed) AS passed, bool_or(rule = 'duplicate_po' AND NOT passed) AS dup FROM checks GROUP BY doc_id) d
-         JOIN (SELECT o_orderkey AS doc_id, o_totalprice / 10000 AS s FROM orders) e ON e.doc_id = d.doc_id
-         LEFT JOIN (SELECT DISTINCT doc_id FROM retries) r ON r.doc_id = d.doc_id) x""",
-    RETRY_VIEWS,
-)
-def retry_gate(t):
-    checks = _checks(t)
-    elapsed = t("orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_totalprice") / 10000).alias("elapsed_s"))
-    gate = routing.retry_gate(checks, elapsed, routing.calls_to_retry(checks, _calls(t)))
-    return gate.withColumn("skipped", F.regexp_replace("skipped", r"^(retry deadline): .*", "$1"))
+@query("merged_lines", """
+    SELECT doc_id, line_no, call_id, CAST(quantity AS DOUBLE) AS quantity, CAST(line_total AS DOUBLE) AS line_total FROM r2_po_line
+    UNION ALL SELECT doc_id, line_no, call_id, CAST(quantity AS DOUBLE), CAST(line_total AS DOUBLE) FROM r1_po_line
+    WHERE doc_id NOT IN (SELECT doc_id FROM r2_docs)""", ROUND2_VIEWS)
+def merged_lines(t):
+    """Line items of the merged orders after the last round."""
+    lines = chain.last_lines(outcome(t))
+    return lines.select("doc_id", "line_no", "call_id", *[F.col(c).cast("double").alias(c) for c in ("quantity", "line_total")])
 
 
 @query(
     "final_status",
-    """SELECT d.doc_id, CASE WHEN broken THEN 'failed' WHEN passed THEN 'completed' ELSE 'needs_review' END AS status
-       FROM (SELECT doc_id, bool_and(passed) AS passed FROM checks GROUP BY doc_id) d
-       LEFT JOIN (SELECT doc_id, bool_or(coalesce(error_kind IN ('transient', 'api', 'internal'), false)) AS broken FROM parsed GROUP BY doc_id) b
-         ON b.doc_id = d.doc_id""",
-    {**RETRY_VIEWS, **PARSED},
+    """SELECT doc_id, CASE WHEN passed THEN 'completed' ELSE 'needs_review' END AS status FROM verdict
+       UNION ALL SELECT doc_id, 'failed' FROM broken""",
+    ROUND2_VIEWS,
 )
 def final_status(t):
-    report = _checks(t).groupBy("doc_id").agg(F.bool_and("passed").alias("passed"))
-    return routing.final_status(parsed(t), report)
+    return outcome(t).status
 
 
-@query(
-    "review_queue",
-    "SELECT doc_id, string_agg(rule, ',' ORDER BY o) AS failed_rules FROM checks WHERE NOT passed GROUP BY doc_id",
-    RETRY_VIEWS,
-)
+@query("review_queue", "SELECT doc_id, failed_rules FROM verdict WHERE NOT passed", ROUND2_VIEWS)
 def review_queue(t):
-    m = merged_from(t)
-    found = settle(rules.problems(m, RETRY_RULES), "problems")
-    checks = rules.checks(m, RETRY_RULES, found)
-    return routing.review_queue(checks, rules.check_fields(m, RETRY_RULES, found)).select("doc_id", "failed_rules")
+    return chain.review(outcome(t)).select("doc_id", "failed_rules")
 
 
 @query(
@@ -169,25 +143,49 @@ def call_timeline(t):
     return routing.call_timeline(c.withColumns(stamps))
 
 
-@query("envelope")
+@query(
+    "envelope",
+    """SELECT v.doc_id, v.status, error, CAST(h.grand_total AS DOUBLE) AS grand_total, h.po_number, passed, failed_rules,
+              strategy, estimated_rows, item_pages, coalesce(calls, '') AS retried_calls, skipped AS retry_skipped, line_count, answers
+       FROM (SELECT doc_id, CASE WHEN passed THEN 'completed' ELSE 'needs_review' END AS status, passed, failed_rules FROM verdict
+             UNION ALL SELECT doc_id, 'failed', NULL, NULL FROM broken) v
+       LEFT JOIN broken b ON b.doc_id = v.doc_id
+       LEFT JOIN (SELECT doc_id, po_number, grand_total FROM r2_po_header UNION ALL SELECT doc_id, po_number, grand_total FROM r1_po_header
+                  WHERE doc_id NOT IN (SELECT doc_id FROM r2_docs)) h ON h.doc_id = v.doc_id
+       LEFT JOIN plans p ON p.doc_id = v.doc_id
+       LEFT JOIN (SELECT doc_id, string_agg(call_id, ',' ORDER BY seq) AS calls FROM retried GROUP BY doc_id) r ON r.doc_id = v.doc_id
+       LEFT JOIN gate g ON g.doc_id = v.doc_id
+       LEFT JOIN (SELECT doc_id, count(*) AS line_count FROM (SELECT doc_id FROM r2_po_line UNION ALL SELECT doc_id FROM r1_po_line
+                  WHERE doc_id NOT IN (SELECT doc_id FROM r2_docs)) l GROUP BY doc_id) l ON l.doc_id = v.doc_id
+       LEFT JOIN (SELECT doc_id, count(*) FILTER (error_kind IS NULL) AS answers FROM every GROUP BY doc_id) a ON a.doc_id = v.doc_id""",
+    {**PLAN_VIEWS, **ROUND2_VIEWS},
+)
 def envelope(t):
-    """One nested row per document: status, header data, verdicts, review, line count."""
-    m = merged_from(t)
-    checks = _checks(t)
-    verdicts = checks.groupBy("doc_id").agg(
-        F.bool_and("passed").alias("passed"),
-        F.array_sort(F.collect_list(F.struct("rule", "passed", "detail", "retry_target", "retryable"))).alias("checks"),
-    )
-    status = routing.final_status(parsed(t), verdicts.select("doc_id", "passed"))
-    n = m.lines.groupBy("doc_id").agg(F.count("*").alias("line_count"))
-    data = m.header.select("doc_id", F.struct(*[c for c in m.header.columns if c != "doc_id"]).alias("data"))
-    return (
-        data.join(verdicts, "doc_id").join(status, "doc_id").join(n, "doc_id", "left")
-        .select("doc_id", "status", F.to_json("data").alias("data"), "line_count",
-                F.to_json(F.struct("passed", "checks")).alias("validation"))
+    """One nested row per document, its parts compared by what they hold."""
+    e = chain.envelopes(outcome(t), plans(t))
+    return e.select(
+        "doc_id", "status", "error", F.col("data.grand_total").cast("double").alias("grand_total"), "data.po_number", "validation.passed",
+        "review.failed_rules", "routing.strategy", "routing.estimated_rows", "routing.item_pages", F.coalesce("routing.retried_calls", F.lit("")).alias("retried_calls"),
+        F.regexp_replace("routing.retry_skipped", r"^(retry deadline): .*", "$1").alias("retry_skipped"), "line_count", "answers",
     )
 
 
+@query(
+    "review_items",
+    """SELECT doc_id, rule, field FROM (
+         SELECT DISTINCT doc_id, 'duplicate_po' AS rule, 'po_number' AS field FROM last_checks WHERE rule = 'duplicate_po' AND NOT passed
+         UNION ALL SELECT DISTINCT doc_id, 'continuity', 'line_items[' || n || ']' FROM (SELECT * FROM r2_missing_no UNION ALL SELECT * FROM r1_missing_no
+           WHERE doc_id NOT IN (SELECT doc_id FROM r2_docs)) m
+         UNION ALL SELECT doc_id, 'continuity', 'line_items' FROM r2_po_header WHERE doc_id NOT IN (SELECT doc_id FROM r2_po_line)
+         UNION ALL SELECT doc_id, 'continuity', 'line_items' FROM r1_po_header WHERE doc_id NOT IN (SELECT doc_id FROM r1_po_line)
+           AND doc_id NOT IN (SELECT doc_id FROM r2_docs)) x""",
+    ROUND2_VIEWS,
+)
+def review_items(t):
+    """Fields to look at after the last round; two rules have SQL, tests cover the others."""
+    return chain.failed_fields(outcome(t)).filter(F.col("rule").isin("duplicate_po", "continuity"))
+
+
 @query("envelope_lines", "SELECT doc_id, line_no, call_id FROM po_line")
 def envelope_lines(t):
     """Line items stay rows beside the envelope, so no document's lines are gathered."""

@@ -216,9 +216,7 @@ GAP_VIEWS = {"steps": _STEPS, "missing_no": _MISSING, "gap_calls": _GAP_CALLS}
 _CALLS_TARGET = "CASE WHEN count(DISTINCT call_id) = 1 THEN min(call_id) WHEN count(DISTINCT call_id) > 1 THEN 'LI' END"
 
 
-@query(
-    "check_continuity",
-    f"""SELECT h.doc_id, s.doc_id IS NOT NULL AND g.doc_id IS NULL AS passed,
+CONTINUITY_SQL = f"""SELECT h.doc_id, s.doc_id IS NOT NULL AND g.doc_id IS NULL AS passed,
                CASE WHEN s.doc_id IS NULL THEN 'LI' ELSE target END AS retry_target,
                CASE WHEN s.doc_id IS NULL THEN 'no line items' WHEN g.doc_id IS NULL THEN ''
                     ELSE 'missing line numbers [' || numbers || ']' END AS detail
@@ -226,9 +224,10 @@ _CALLS_TARGET = "CASE WHEN count(DISTINCT call_id) = 1 THEN min(call_id) WHEN co
         LEFT JOIN (SELECT doc_id, string_agg(CAST(n AS VARCHAR), ', ' ORDER BY n) AS numbers FROM (
                      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS rn FROM missing_no) r
                    WHERE rn <= 20 GROUP BY doc_id) g ON g.doc_id = h.doc_id
-        LEFT JOIN (SELECT doc_id, {_CALLS_TARGET} AS target FROM gap_calls GROUP BY doc_id) c ON c.doc_id = h.doc_id""",
-    GAP_VIEWS,
-)
+        LEFT JOIN (SELECT doc_id, {_CALLS_TARGET} AS target FROM gap_calls GROUP BY doc_id) c ON c.doc_id = h.doc_id"""
+
+
+@query("check_continuity", CONTINUITY_SQL, GAP_VIEWS)
 def check_continuity(t):
     return run_rule(t, "continuity", "passed", "retry_target", "detail")
 
@@ -253,14 +252,13 @@ _INCOMPLETE = f"""
 TOTAL_VIEWS = {**TAX_VIEWS, **GAP_VIEWS, "totals": _TOTALS, "incomplete": _INCOMPLETE}
 
 
-@query(
-    "check_totals",
-    """SELECT t.doc_id, coalesce(lv, 0) + ho = 0 AS passed, coalesce(lv, 0) + ho AS problems,
+TOTALS_SQL = """SELECT t.doc_id, coalesce(lv, 0) + ho = 0 AS passed, coalesce(lv, 0) + ho AS problems,
               CASE WHEN coalesce(lv, 0) + ho = 0 THEN NULL WHEN lv > 0 AND ho = 0 THEN coalesce(target, 'both')
                    WHEN lv > 0 THEN 'both' ELSE 'H' END AS retry_target
-       FROM totals t LEFT JOIN incomplete i ON i.doc_id = t.doc_id""",
-    TOTAL_VIEWS,
-)
+       FROM totals t LEFT JOIN incomplete i ON i.doc_id = t.doc_id"""
+
+
+@query("check_totals", TOTALS_SQL, TOTAL_VIEWS)
 def check_totals(t):
     return run_rule(t, "totals")
 

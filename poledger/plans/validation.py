@@ -13,10 +13,8 @@ def merged_from(t: Tables, grounding: bool = False) -> Merged:
     header, lines = t("po_header"), t("po_line")
     verdicts = None
     if grounding:
-        from poledger.catalog.pages import grounding_values
-
         verdicts = settle(
-            pages.ground(grounding_values(header, lines), pages.page_features(t("page_text"))), "verdicts"
+            pages.ground(pages.grounding_values(header, lines), pages.page_features(t("page_text"))), "verdicts"
         )
     return Merged(
         header, lines, t("header_error"), t("row_error"), t("missing_call"),

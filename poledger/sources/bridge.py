@@ -65,24 +65,16 @@ def rupee_words(n: str) -> str:
     return "'Rupees' || " + " || ".join(parts) + " || ' Only'"
 
 
-def indian(x: str) -> str:
-    """Digit grouping 12,34,567.80 of a two-decimal amount below a hundred crore."""
-    s = text(x)
-    w = f"substr({s}, 1, length({s}) - 3)"
-    frac = f"substr({s}, length({s}) - 2, 3)"
-    tail = f"substr({w}, length({w}) - 2, 3)"
-
-    def head(end: int, n: int) -> str:
-        return f"substr({w}, length({w}) - {end - 1}, {n})"
-
-    return (
-        f"CASE WHEN length({w}) <= 3 THEN {s} "
-        f"WHEN length({w}) <= 5 THEN substr({w}, 1, length({w}) - 3) || ',' || {tail} || {frac} "
-        f"WHEN length({w}) <= 7 THEN substr({w}, 1, length({w}) - 5) || ',' || {head(5, 2)} || ',' "
-        f"|| {tail} || {frac} "
-        f"ELSE substr({w}, 1, length({w}) - 7) || ',' || {head(7, 2)} || ',' || {head(5, 2)} || ',' "
-        f"|| {tail} || {frac} END"
-    )
+def indian(x: str, decimals: int = 2) -> str:
+    """Digit grouping 12,34,567.80 of a number with that many decimals."""
+    s, tail = text(x), decimals + 1
+    w = f"substr({s}, 1, length({s}) - {tail})"
+    groups, cases = f"substr({w}, length({w}) - 2, 3) || substr({s}, length({s}) - {decimals}, {tail})", [f"WHEN length({w}) <= 3 THEN {s}"]
+    for digits in range(5, 17, 2):
+        groups = f"',' || {groups}"
+        cases.append(f"WHEN length({w}) <= {digits} THEN substr({w}, 1, length({w}) - {digits - 2}) || {groups}")
+        groups = f"substr({w}, length({w}) - {digits - 1}, 2) || {groups}"
+    return f"CASE {' '.join(cases)} END"
 
 
 def json_text(a: str) -> str:
@@ -174,13 +166,16 @@ TABLES: dict[str, str] = {
                       ELSE CAST(0 AS DECIMAL(18,2)) END AS taxable_value,
                CASE WHEN p_partkey % 3 > 0 THEN CAST(l_shipdate AS DATE) END AS ship_date
         FROM lineitem JOIN part ON p_partkey = l_partkey""",
-    # One row per (doc, line number), with taxes by supply type.
-    "line_once": """
-        SELECT * FROM (
-            SELECT r.*, row_number() OVER (
-                PARTITION BY doc_id, line_no ORDER BY part_key, supp_key, quantity, taxable_value, gst_rate, ship_date) AS rn
-            FROM raw_line r) x
-        WHERE rn = 1""",
+    # Every row with a number of its own (some orders skip the second number, some count in tens);
+    # pages by place. Then taxes by supply type.
+    "line_once": f"""
+        SELECT doc_id, CAST((n + CASE WHEN doc_id % 13 = 4 AND n >= 2 THEN 1 ELSE 0 END)
+                   * CASE WHEN doc_id % 14 = 3 THEN 10 ELSE 1 END AS INT) AS line_no, {PAGE_OF_LINE.replace("l_linenumber", "n")} AS page_no,
+               'LI-p' || CAST({PAGE_OF_LINE.replace("l_linenumber", "n")} AS STRING) AS call_id, part_key, item_code, description, hsn_sac,
+               quantity, uom, unit_rate, discount_pct, gst_rate, taxable_value, ship_date
+        FROM (SELECT r.*, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no, part_key, supp_key, quantity,
+                  taxable_value, gst_rate, ship_date, discount_pct) AS INT) AS n
+              FROM raw_line r) x""",
     "po_line": """
         SELECT doc_id, line_no, page_no, call_id, item_code, description, hsn_sac, quantity, uom,
                unit_rate, discount_pct, taxable_value, gst_rate, cgst_amount, sgst_amount,
@@ -374,7 +369,7 @@ TABLES |= {
                string_agg({text('line_no')} || ' ' || item_code || ' ' || description || ' '
                  || hsn_sac || ' ' || {text('quantity')} || ' ' || ({indian('taxable_value')}) || ' '
                  || ({indian('line_total')}), {NL}) WITHIN GROUP (ORDER BY line_no) AS block
-        FROM po_line WHERE line_total < 1000000000 AND doc_id % 71 <> line_no % 71
+        FROM po_line WHERE doc_id % 71 <> line_no % 71
         GROUP BY doc_id, page_no""",
     "page_text": f"""
         SELECT h.doc_id, 1 AS page_no,
@@ -432,6 +427,22 @@ def _header_json() -> str:
     return "'{\"prep_by\": \"desk\"' || " + " || ".join(parts) + " || " + odd + " || '}'"
 
 
+def _whole_header(more: str, odd: bool = False) -> str:
+    """JSON of all header values; `more` is added to the grand total, `odd` spoils some dates."""
+    from poledger.refdata import HEADER_KIND, SHORT_TO_FULL
+
+    short = {full: s for s, full in SHORT_TO_FULL.items()}
+    parts = []
+    for f in [x for x in HEADER_FIELDS if x != "prepared_by"]:
+        value = f"CAST({f} + {more} AS DECIMAL(18,2))" if f == "grand_total" else f
+        given = text(value) if HEADER_KIND[f] == "money" else f"'\"' || {text(value)} || '\"'"
+        if odd and f == "delivery_date":
+            given = f"CASE WHEN doc_id % 33 = 5 THEN '\"31/02/2026\"' ELSE {given} END"
+        parts.append(f"coalesce(', \"{short.get(f, f)}\": ' || {given}, '')")
+    # a value that every order has comes first, so that all others may follow a comma
+    return f"'{{\"{short['prepared_by']}\": \"' || prepared_by || '\"' || " + " || ".join(parts) + " || '}'"
+
+
 TABLES |= {
     "answer_row": f"""
         SELECT r.doc_id, r.page_no, r.seq, r.part_key, r.supp_key,
@@ -476,6 +487,36 @@ TABLES |= {
                CASE WHEN doc_id % 10 = 0 THEN 'not json' ELSE content END,
                'looked again', 'stop', doc_id % 900, doc_id % 90, CAST(NULL AS STRING)
         FROM line_answer WHERE doc_id % 5 = 0""",
+    # Answers of whole orders. First answers carry defects that the retry of their call mends, unless it fails too.
+    "order_row": f"""
+        SELECT r.doc_id, r.page_no, r.seq, '[' || {_ROW_JSON} || ']' AS good,
+               CASE WHEN (r.doc_id * 7 + r.seq) % 101 = 0 THEN '[1, 2, 3]'
+                    WHEN r.doc_id % 8 = 2 AND r.seq = 1 THEN '[' || {_ROW_JSON.replace("quantity", "quantity + 1")} || ']'
+                    ELSE '[' || {_ROW_JSON} || ']' END AS given
+        FROM (SELECT *, line_no AS seq FROM po_line) r""",
+    "order_rows": """
+        SELECT doc_id, page_no,
+               string_agg(good, ', ') WITHIN GROUP (ORDER BY seq) AS good,
+               CASE WHEN doc_id % 16 = 4 AND page_no = 2 THEN
+                  '[null, null, "with seal kit", null, null, null, null, null, null, null, null, null], ' ELSE '' END
+               || string_agg(given, ', ') WITHIN GROUP (ORDER BY seq)
+               || CASE WHEN doc_id % 12 = 5 THEN ', ' || max(good) ELSE '' END AS given
+        FROM order_row GROUP BY doc_id, page_no""",
+    "order_answer": f"""
+        SELECT doc_id, 'H' AS call_id, 0 AS page_no, attempt,
+               CASE WHEN attempt = 'retry' AND doc_id % 10 = 3 THEN 'not json' WHEN attempt = 'retry' THEN {_whole_header("0")}
+                    WHEN doc_id % 45 = 1 THEN '{{"po_no": '
+                    ELSE {_whole_header("CASE WHEN doc_id % 6 = 1 THEN 500 ELSE 0 END", True)} END AS content,
+               CAST(NULL AS STRING) AS reasoning, CASE WHEN attempt = 'first' AND doc_id % 50 = 2 THEN 'length' ELSE 'stop' END AS finish_reason,
+               CASE WHEN attempt = 'first' AND doc_id % 77 = 0 THEN 'transient' END AS request_error
+        FROM po_header JOIN (VALUES ('first'), ('retry')) AS a(attempt) ON doc_id IS NOT NULL
+        UNION ALL
+        SELECT doc_id, 'LI-p' || CAST(page_no AS STRING), page_no, attempt,
+               CASE WHEN attempt = 'retry' AND doc_id % 10 = 3 THEN 'not json' WHEN attempt = 'retry' THEN '{{"rows": [' || good || ']}}'
+                    WHEN doc_id % 55 = 0 THEN '[1, 2]' WHEN doc_id % 85 = 1 THEN '{{"rows": 7}}' ELSE '{{"rows": [' || given || ']}}' END,
+               CAST(NULL AS STRING), CASE WHEN attempt = 'first' AND doc_id % 75 = 4 THEN 'length' ELSE 'stop' END,
+               CASE WHEN attempt = 'first' AND doc_id % 91 = 6 AND page_no = 1 THEN 'api' END
+        FROM order_rows JOIN (VALUES ('first'), ('retry')) AS a(attempt) ON doc_id IS NOT NULL""",
     # When each call of a document was queued, sent and answered.
     "call_times": """
         SELECT user_id AS doc_id, event_id AS call_id, ts AS queued_at,
@@ -513,7 +554,7 @@ _WITHIN = re.compile(r"\) WITHIN GROUP \(ORDER BY ([^)]*)\)")
 
 
 #: Tables that many queries read: written once for each application and folder.
-STORED = ("po_party", "po_line", "po_base", "po_header", "pred_header", "pred_line", "page_text", "call_answer")
+STORED = ("po_party", "po_line", "po_base", "po_header", "pred_header", "pred_line", "page_text", "call_answer", "order_answer")
 _PATHS: dict[tuple[str, str, str], str] = {}
 
 
