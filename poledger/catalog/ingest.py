@@ -24,7 +24,7 @@ _ROWS = """
            CASE WHEN json_type(r) = 'ARRAY' THEN json_array_length(r) END AS n
     FROM (SELECT doc_id, call_id, page_no, unnest(json_extract(answer, '$.rows[*]')) AS r,
                  generate_subscripts(json_extract(answer, '$.rows[*]'), 1) AS i
-          FROM parsed WHERE attempt = 'first' AND error_kind IS NULL AND call_id <> 'H' AND json_type(answer, '$.rows') = 'ARRAY') x"""
+          FROM best WHERE error_kind IS NULL AND call_id <> 'H' AND json_type(answer, '$.rows') = 'ARRAY') x"""
 
 
 def _cell(i: int) -> str:
@@ -58,7 +58,8 @@ _DEDUPED = f"""
     SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY {_FILLED} DESC,
         length(coalesce(description, '')) DESC, page_no, idx) AS rn FROM joined) x WHERE rn = 1 OR line_no IS NULL"""
 PARSED = {"parsed": _PARSED}
-V = {**PARSED, "row_list": _ROWS, "decoded": _DECODED, "joined": _JOINED, "deduped": _DEDUPED}
+BEST = {**PARSED, "best": _BEST}
+V = {**BEST, "row_list": _ROWS, "decoded": _DECODED, "joined": _JOINED, "deduped": _DEDUPED}
 
 
 def parsed(t):
@@ -66,7 +67,8 @@ def parsed(t):
 
 
 def line_answers(t):
-    return parsed(t).filter("attempt = 'first' and ok and call_id <> 'H'").filter(
+    """The better answer of each line call."""
+    return ingest.best_answer(parsed(t)).filter("ok and call_id <> 'H'").filter(
         F.ltrim(F.get_json_object("answer", "$.rows")).startswith("[")
     )
 
@@ -226,16 +228,16 @@ def type_row_errors(t):
 @query(
     "missing_calls",
     """SELECT DISTINCT c.doc_id, c.call_id FROM call_answer c WHERE NOT EXISTS (
-         SELECT 1 FROM parsed p WHERE p.doc_id = c.doc_id AND p.call_id = c.call_id AND p.attempt = 'first' AND error_kind IS NULL
+         SELECT 1 FROM best p WHERE p.doc_id = c.doc_id AND p.call_id = c.call_id AND error_kind IS NULL
            AND (p.call_id = 'H' OR json_type(CASE WHEN json_valid(answer) THEN answer ELSE '{}' END, '$.rows') = 'ARRAY'))""",
-    PARSED,
+    BEST,
 )
 def missing_calls(t):
     planned = t("call_answer").select("doc_id", "call_id").distinct()
-    return ingest.missing_calls(parsed(t).filter("attempt = 'first'"), planned)
+    return ingest.missing_calls(ingest.best_answer(parsed(t)), planned)
 
 
-@query("best_answer", "SELECT doc_id, call_id, attempt, error_kind FROM best", {**PARSED, "best": _BEST})
+@query("best_answer", "SELECT doc_id, call_id, attempt, error_kind FROM best", BEST)
 def best_answer(t):
     return ingest.best_answer(parsed(t)).select("doc_id", "call_id", "attempt", "error_kind")
 

@@ -73,6 +73,9 @@ HSN_LABELLED = (
 NO_HSN_CHAPTERS = ("00", "77")
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u2003\u3000"
 BREAK = "\u0001"  # between tokens of a grounding corpus
+ANYWHERE = 8  # characters from which a value matches inside tokens too
+BLOCK = 4096  # characters of a document that are searched at a time
+SEED, STRIDE = 5, 4  # every value that matches anywhere holds SEED characters at a strided place
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -280,65 +283,92 @@ def grounding_values(header: DataFrame, lines: DataFrame) -> DataFrame:
     return head.unionByName(rows).filter("value is not null and value <> ''")
 
 
-def corpora(features: DataFrame, head: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """(pages with their token stream running on into the next text page, completeness per doc).
-
-    The streams are read several times, so they are written once.
-    """
-    tokens = F.regexp_replace(F.upper("layer"), "[^A-Z0-9]+", BREAK)
-    framed = F.concat(F.lit(BREAK), F.btrim(tokens, F.lit(BREAK)), F.lit(BREAK))
-    kept = settle(
-        features.filter("kept").select(
-            "doc_id", "page_no", F.when(F.col("layer") != "", framed).alias("stream")
-        ),
-        "streams",
-    )
-    stream = kept.filter("stream is not null")
-    heads = stream.select("doc_id", "page_no", F.substring("stream", 2, head).alias("head"))
-    nxt = heads.withColumn(
-        "next", F.lead("head").over(Window.partitionBy("doc_id").orderBy("page_no"))
-    ).filter(F.col("next").isNotNull())
-    joined = stream.join(nxt.select("doc_id", "page_no", "next"), ["doc_id", "page_no"], "left")
-    pages = joined.select(
-        "doc_id", "page_no", F.concat("stream", F.coalesce("next", F.lit(""))).alias("stream")
-    )
-    complete = kept.groupBy("doc_id").agg(F.bool_and(F.col("stream").isNotNull()).alias("complete"))
-    return pages, complete
-
-
 def _printed(needle: Column, stream: Column) -> Column:
     """Eight characters or more match anywhere; shorter values on token boundaries, where they
     may span tokens (an optional break between any two characters)."""
     spaced = F.regexp_replace(needle, "(?<=.)(?=.)", f"{BREAK}?")
     return F.when(
-        F.length(needle) >= 8, F.contains(F.replace(stream, F.lit(BREAK), F.lit("")), needle)
+        F.length(needle) >= ANYWHERE, F.contains(F.replace(stream, F.lit(BREAK), F.lit("")), needle)
     ).otherwise(F.regexp_like(stream, F.concat(F.lit(BREAK), spaced, F.lit(BREAK))))
 
 
+def _blocks(stream: DataFrame, size: int) -> DataFrame:
+    """(doc_id, block, before, text, after): the token stream of each document, its pages one after
+    another, cut into blocks of `size` characters, with the neighbours of each. Only lengths meet in
+    a document's window; a block gathers at most `size` pieces."""
+    body = stream.select("doc_id", "page_no", F.substring("stream", 2, 1 << 30).alias("body"))
+    sizes = body.select("doc_id", "page_no", F.length("body").cast("bigint").alias("n"))
+    ahead = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    placed = body.join(sizes.withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0))), ["doc_id", "page_no"])
+    cut = placed.withColumn("block", F.explode(F.expr(f"sequence(start div {size}, (start + n - 1) div {size})")))
+    skip = F.greatest(F.col("block") * size - F.col("start"), F.lit(0))
+    stop = F.least((F.col("block") + 1) * size - F.col("start"), F.col("n"))
+    piece = F.substring("body", (skip + 1).cast("int"), (stop - skip).cast("int"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", piece.alias("piece")))), lambda p: p["piece"]), "")
+    own = settle(cut.groupBy("doc_id", "block").agg(text.alias("text")), "stream-blocks")
+    seen = [own.select("doc_id", (F.col("block") + d).alias("block"), F.lit(d).alias("d"), "text") for d in (-1, 0, 1)]
+    side = lambda d: F.max(F.when(F.col("d") == d, F.col("text")))
+    met = reduce(DataFrame.unionByName, seen).groupBy("doc_id", "block").agg(side(0).alias("text"), side(1).alias("before"), side(-1).alias("after"))
+    return met.filter("text is not null").select(
+        "doc_id", "block", "text", F.coalesce("before", F.lit(BREAK)).alias("before"), F.coalesce("after", F.lit("")).alias("after")
+    )
+
+
+def _text_seeds(blocks: DataFrame) -> DataFrame:
+    """(doc_id, block, seed): SEED characters from every STRIDE-th one on, for values that match anywhere,
+    and the first one to four characters of each token, for values that match on token boundaries."""
+    bare = lambda c: F.replace(c, F.lit(BREAK), F.lit(""))
+    ahead = F.substring("after", 1, 4 * SEED)
+    whole, own = bare(F.concat("text", ahead)), F.length(bare(F.col("text")))
+    strided = F.when(own > 0, F.transform(F.sequence(F.lit(0), own - 1, F.lit(STRIDE)), lambda i: F.concat(F.lit("any "), F.substring(whole, i + 1, SEED))))
+    heads = F.regexp_extract_all(F.concat(F.right("before", F.lit(1)), F.col("text"), ahead), F.lit(f"(?<={BREAK})(?=((?:[^{BREAK}]{BREAK}?){{1,4}}))"), F.lit(1))
+    tokens = F.flatten(F.transform(heads, lambda h: F.transform(F.sequence(F.lit(1), F.length(bare(h))), lambda k: F.concat(F.lit("token "), F.substring(bare(h), 1, k)))))
+    return blocks.select("doc_id", "block", F.explode(F.array_distinct(F.concat(F.coalesce(strided, F.array().cast("array<string>")), tokens))).alias("seed"))
+
+
+def _value_seeds(needles: DataFrame) -> DataFrame:
+    """(doc_id, needle, seed): one of a long value's first STRIDE seeds stands at a strided place."""
+    any_ = F.array(*[F.concat(F.lit("any "), F.substring("needle", o + 1, SEED)) for o in range(STRIDE)])
+    return needles.select("doc_id", "needle", F.explode(F.when(F.length("needle") >= ANYWHERE, any_).otherwise(F.array(F.concat(F.lit("token "), F.substring("needle", 1, 4))))).alias("seed"))
+
+
+def search(needles: DataFrame, stream: DataFrame) -> DataFrame:
+    """(doc_id, needle) of the needles that their document prints, over any number of page breaks.
+
+    Seeds of values meet equal seeds of blocks of the text in a join on (document, seed); only blocks
+    with a seed are searched, each with both neighbours, and blocks are longer than any value.
+    """
+    longest = needles.agg(F.max(F.length("needle"))).first()[0] or 0
+    blocks = settle(_blocks(stream.join(needles.select("doc_id").distinct(), "doc_id", "left_semi"), max(BLOCK, 2 * longest + 2)), "blocks")
+    tried = _value_seeds(needles).join(_text_seeds(blocks), ["doc_id", "seed"]).select("doc_id", "block", "needle").distinct()
+    met = tried.join(blocks, ["doc_id", "block"])
+    return met.filter(_printed(F.col("needle"), F.concat("before", "text", "after"))).select("doc_id", "needle").distinct()
+
+
 def ground(values: DataFrame, features: DataFrame) -> DataFrame:
     """values(doc_id, value[, page_no]) -> distinct (doc_id, value, verdict yes/no/unverifiable).
 
     A value is first looked for on the page it was read from (an equi-join that settles almost
-    all); only the rest meets the other pages of its document.
+    all); the rest is searched in the whole document.
     """
-    pages, complete = corpora(features)
+    tokens = F.regexp_replace(F.upper("layer"), "[^A-Z0-9]+", BREAK)
+    trimmed = F.btrim(tokens, F.lit(BREAK))
+    framed = F.when(trimmed == "", F.lit(BREAK)).otherwise(F.concat(F.lit(BREAK), trimmed, F.lit(BREAK)))
+    kept = settle(features.filter("kept").select("doc_id", "page_no", F.when(F.col("layer") != "", framed).alias("stream")), "streams")
+    stream = kept.filter(F.length("stream") > 1)
+    complete = kept.groupBy("doc_id").agg(F.bool_and(F.col("stream").isNotNull()).alias("complete"))
     v = values.withColumn("needle", key_text(F.col("value")))
     own = (
         v.filter("page_no is not null and needle <> ''")
-        .join(pages, ["doc_id", "page_no"])
+        .join(stream, ["doc_id", "page_no"])
         .filter(_printed(F.col("needle"), F.col("stream")))
         .select("doc_id", "needle")
         .distinct()
     )
     distinct = v.select("doc_id", "value", "needle").distinct()
-    rest = distinct.join(own, ["doc_id", "needle"], "left_anti").filter("needle <> ''")
-    found = (
-        rest.join(pages, "doc_id")
-        .filter(_printed(F.col("needle"), F.col("stream")))
-        .select("doc_id", "needle")
-        .distinct()
-    )
-    hit = own.unionByName(found).distinct().withColumn("hit", F.lit(True))
+    own = settle(own, "own-page")
+    rest = settle(distinct.join(own, ["doc_id", "needle"], "left_anti").filter("needle <> ''").select("doc_id", "needle").distinct(), "ungrounded")
+    hit = own.unionByName(search(rest, stream)).withColumn("hit", F.lit(True))
     return (
         distinct.join(hit, ["doc_id", "needle"], "left")
         .join(complete, "doc_id", "left")
