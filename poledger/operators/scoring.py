@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from poledger.functions.fuzzy import token_set_ratio
 from poledger.functions.normal import as_identifier, as_number, as_text, normalise
+from poledger.operators import quantiles
 from poledger.refdata import (
     COMPUTED_HEADER_FIELDS,
     COMPUTED_LINE_COLUMNS,
@@ -320,26 +321,27 @@ def field_tally(results: DataFrame) -> DataFrame:
 
 def latency_summary(records: DataFrame) -> DataFrame:
     """Overall and per variant."""
-    q = lambda x: F.round(F.percentile(F.col("total_ms").cast("double"), F.lit(x)), 6)
-    out = records.groupingSets([[], ["variant"]], "variant").agg(
-        F.count("*").alias("docs"), q(0.5).alias("p50_ms"), q(0.95).alias("p95_ms"),
-        F.max("total_ms").cast("double").alias("max_ms"),
+    each = records.withColumn("variant", F.explode(F.array(F.lit("all"), F.col("variant"))))
+    out = each.groupBy("variant").agg(
+        F.count("*").alias("docs"), F.max("total_ms").cast("double").alias("max_ms"),
         F.avg("prompt_tokens").alias("mean_prompt"), F.avg("completion_tokens").alias("mean_completion"),
         F.avg("reasoning_tokens").alias("mean_reasoning"),
         F.bool_or("reasoning_estimated").alias("estimated"), F.avg("calls").alias("mean_calls"),
         F.count_if(F.col("status") == "parse_error").alias("parse_errors"),
     )
-    return out.withColumn("variant", F.coalesce("variant", F.lit("all")))
+    times = quantiles.exact(each, F.col("total_ms"), {"p50_ms": 0.5, "p95_ms": 0.95}, ["variant"])
+    times = times.select(F.col("variant").alias("of"), *[F.round(c, 6).alias(c) for c in ("p50_ms", "p95_ms")])
+    return out.join(times, out["variant"].eqNullSafe(times["of"]), "left").drop("of")
 
 
 def run_summary(records: DataFrame) -> DataFrame:
     """Counts by status, retried documents, p50/p95 in ms, mean completion tokens, reasoning sum."""
-    q = lambda x: F.round(F.percentile(F.col("total_ms").cast("double"), F.lit(x)), 6)
-    return records.agg(
+    out = records.agg(
         *[F.count_if(F.col("status") == s).alias(s) for s in ("completed", "needs_review", "failed")],
-        F.count("retried_call").alias("retried"), q(0.5).alias("p50_ms"), q(0.95).alias("p95_ms"),
+        F.count("retried_call").alias("retried"),
         F.avg("completion_tokens").alias("mean_completion"), F.sum("reasoning_tokens").alias("reasoning"),
     )
+    return quantiles.beside(out, quantiles.exact(records, F.col("total_ms"), {"p50_ms": 0.5, "p95_ms": 0.95}))
 
 
 # --- ranking ---------------------------------------------------------------------------------

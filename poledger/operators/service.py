@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from poledger.operators.quantiles import beside, exact
 from poledger.refdata import HEADER_FIELDS, JOB_STATUSES
 
 FINAL = ("completed", "needs_review", "failed")
@@ -134,15 +135,16 @@ def page_mix(kinds):
     return F.when(F.size(distinct) == 1, F.get(distinct, F.lit(0))).when(F.size(distinct) > 1, "mixed")
 
 
-def metric_columns() -> list:
-    """Aggregates shared by the batch metrics and the streaming window."""
+def metric_columns(quantiles: bool = True) -> list:
+    """Aggregates shared by the batch metrics and the streaming window; the latter has its quantiles
+    in the window's own state, which holds the jobs of one window."""
     p = lambda c, q: F.round(F.percentile(F.col(c).cast("double"), F.lit(q)), 6)
     checked = F.col("status").isin("completed", "needs_review")
     return [
         F.count("*").alias("jobs"),
         *[F.count_if(F.col("status") == s).alias(s) for s in JOB_STATUSES],
-        p("latency_ms", 0.5).alias("latency_p50"), p("latency_ms", 0.95).alias("latency_p95"),
-        F.max(F.col("latency_ms").cast("double")).alias("latency_max"), p("queue_ms", 0.95).alias("queue_p95"),
+        *([p("latency_ms", 0.5).alias("latency_p50"), p("latency_ms", 0.95).alias("latency_p95"), p("queue_ms", 0.95).alias("queue_p95")] if quantiles else []),
+        F.max(F.col("latency_ms").cast("double")).alias("latency_max"),
         *[F.count_if(page_mix(F.col("page_kinds")) == k).alias(f"pages_{k}") for k in ("native", "scanned", "mixed")],
         F.try_divide(F.count_if(checked & F.col("retried")).cast("double"), F.count_if(checked).cast("double")).alias("retry_rate"),
     ]
@@ -150,4 +152,6 @@ def metric_columns() -> list:
 
 def metrics(jobs: DataFrame, now: str, window_minutes: int = 60) -> DataFrame:
     since = F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(window_minutes)} MINUTE")
-    return jobs.filter(F.col("created_at") >= since).agg(*metric_columns())
+    recent = jobs.filter(F.col("created_at") >= since)
+    out = beside(recent.agg(*metric_columns(quantiles=False)), exact(recent, F.col("latency_ms"), {"latency_p50": 0.5, "latency_p95": 0.95}))
+    return beside(out, exact(recent, F.col("queue_ms"), {"queue_p95": 0.95}))
