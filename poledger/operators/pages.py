@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +71,7 @@ HSN_LABELLED = (
 )
 NO_HSN_CHAPTERS = ("00", "77")
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u2003\u3000"
+LINES = 128  # lines in a block, and blocks in a group, of the line scan
 BREAK = "\u0001"  # between tokens of a grounding corpus
 ANYWHERE = 8  # characters from which a value matches inside tokens too
 BLOCK = 4096  # characters of a document that are searched at a time
@@ -387,14 +387,12 @@ def lines_per_page(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """Each line on the first page, not before the previous line's page, that prints both its
     taxable value and its line total; lines without such a page are left out.
 
-    The candidate pages come from equi-joins; the running page is a streaming fold over rows
-    sorted by document and line, so a huge document never sits in memory.
+    The candidate pages come from equi-joins with every figure that starts anywhere on a page, so a
+    value inside a longer figure counts.
     """
-    # The money figures a page prints, as distinct tokens: an equi-join instead of a search
-    # of every page for every line.
     figures = pages.select(
         "doc_id", "page_no",
-        F.explode(F.array_distinct(_all(F.col("text"), r"-?[0-9][0-9,]*\.[0-9]{2}"))).alias("figure"),
+        F.explode(F.array_distinct(_all(F.col("text"), r"(?=(-?[0-9][0-9,]*\.[0-9]{2}))", 1))).alias("figure"),
     )
     want = lines.select(
         "doc_id", "line_no",
@@ -407,27 +405,56 @@ def lines_per_page(lines: DataFrame, pages: DataFrame) -> DataFrame:
     per_line = candidate.groupBy("doc_id", "line_no").agg(
         F.array_sort(F.collect_set("page_no")).alias("pages")
     )
-    return _assign_in_order(per_line)
+    return in_order(per_line)
 
 
-def _assign_in_order(per_line: DataFrame) -> DataFrame:
-    """First candidate page at or after the page of the line before."""
+def _step(pages: Column, page: Column) -> Column:
+    """The first of `pages` at or after `page`, else `page`."""
+    return F.coalesce(F.array_min(F.filter(pages, lambda p: p >= page)), page)
 
-    def fold(batches):
-        doc, page = None, 0
-        for pdf in batches:
-            out = []
-            for d, line, pages in zip(pdf["doc_id"], pdf["line_no"], pdf["pages"]):
-                if d != doc:
-                    doc, page = d, 0
-                hit = next((p for p in pages if p >= page), None)
-                if hit is not None:
-                    page = hit
-                    out.append((d, line, hit))
-            yield pd.DataFrame(out, columns=["doc_id", "line_no", "page_no"])
 
-    return (
-        per_line.repartition("doc_id")
-        .sortWithinPartitions("doc_id", "line_no")
-        .mapInPandas(fold, "doc_id bigint, line_no int, page_no int")
-    )
+def _jump(steps: Column, page: Column) -> Column:
+    """A composed step function at `page`: its value at the first of its places at or after it."""
+    return F.coalesce(F.get(F.filter(steps, lambda s: s["at"] >= page), F.lit(0))["to"], page)
+
+
+def _composed(parts: Column, places: Column, one) -> Column:
+    """One step function for several in a row, at the places where any of them has one. Between two places
+    it is the value at the later one, as no step ends there; past the last it changes nothing."""
+    through = lambda page: F.aggregate(parts, page, lambda now, part: one(part, now))
+    return F.transform(F.array_sort(F.array_distinct(places)), lambda p: F.struct(p.alias("at"), through(p).alias("to")))
+
+
+def _entries(parts: Column, start: Column, one) -> Column:
+    """The page at which each of several steps in a row begins, and the last one ends."""
+    return F.aggregate(parts, F.array(start), lambda pages, part: F.array_append(pages, one(part, F.element_at(pages, -1))))
+
+
+def in_order(per_line: DataFrame) -> DataFrame:
+    """(doc_id, line_no, page_no): the first candidate page at or after the page of the line before.
+
+    A scan of composed step functions: a line maps the page before it to its own; LINES lines compose to one
+    function, LINES such blocks to one more, and only those meet per document. On the way back each level
+    hands the pages at which its parts begin to them, so no document's lines are in one row or task.
+    """
+    lines = per_line.withColumn("block", F.floor(F.col("line_no") / LINES)).withColumn("group", F.floor(F.col("block") / LINES))
+    listed = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
+    blocks = lines.groupBy("doc_id", "group", "block").agg(listed("line_no", "pages").alias("lines"))
+    line = lambda part, page: _step(part["pages"], page)
+    jump = lambda part, page: _jump(part["steps"], page)
+    places = F.flatten(F.transform("lines", lambda x: x["pages"]))
+    blocks = settle(blocks.withColumn("steps", _composed(F.col("lines"), places, line)), "line-blocks")
+    groups = blocks.groupBy("doc_id", "group").agg(listed("block", "steps").alias("blocks"))
+    places = F.flatten(F.transform("blocks", lambda b: F.transform(b["steps"], lambda s: s["at"])))
+    groups = settle(groups.withColumn("steps", _composed(F.col("blocks"), places, jump)), "line-groups")
+
+    zero = F.lit(0).cast(per_line.schema["pages"].dataType.elementType)
+    docs = groups.groupBy("doc_id").agg(listed("group", "steps").alias("groups"))
+    begins = docs.select("doc_id", F.inline(F.arrays_zip(F.transform("groups", lambda g: g["group"]).alias("group"), _entries(F.col("groups"), zero, jump).alias("page")))).filter("`group` is not null")
+    met = groups.join(begins, ["doc_id", "group"])
+    begins = met.select("doc_id", "group", F.inline(F.arrays_zip(F.transform("blocks", lambda b: b["block"]).alias("block"), _entries(F.col("blocks"), F.col("page"), jump).alias("page")))).filter("block is not null")
+    met = blocks.join(begins, ["doc_id", "group", "block"])
+    ends = F.slice(_entries(F.col("lines"), F.col("page"), line), F.lit(2), F.size("lines"))
+    placed = met.select("doc_id", F.inline(F.arrays_zip("lines", ends.alias("page_no"))))
+    # a line whose candidates all stand before the page it begins at keeps that page and is left out
+    return placed.filter(F.array_contains(F.col("lines.pages"), F.col("page_no"))).select("doc_id", "lines.line_no", "page_no")
