@@ -77,11 +77,6 @@ def rows(t):
     return ingest.decode_rows(line_answers(t))[0]
 
 
-@query("raw_calls_scan", "SELECT doc_id, call_id, attempt, finish_reason, length(content) AS chars FROM call_answer")
-def raw_calls_scan(t):
-    return t("call_answer").select("doc_id", "call_id", "attempt", "finish_reason", F.length("content").cast("bigint").alias("chars"))
-
-
 @query("parse_answers", "SELECT doc_id, call_id, attempt, thought, error_kind FROM parsed", PARSED)
 def parse_answers(t):
     return parsed(t).select("doc_id", "call_id", "attempt", "thought", "error_kind")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poledger.catalog import duck
@@ -57,17 +60,13 @@ def skipped_pages(t):
     {"features": FEATURES},
 )
 def page_content_flags(t):
-    f = features(t)
-    text = F.col("kept") & (F.col("kind") == "native")
     modes = [
-        F.struct(
-            F.lit(m).alias("mode"),
-            (text & F.lit(m != "image")).alias("carries_text"),
-            (F.col("kept") & ((F.col("kind") == "scanned") | F.lit(m != "text"))).alias("needs_image"),
+        pages.page_features(t("page_text"), mode).select(
+            "doc_id", "page_no", F.lit(mode).alias("mode"), F.col("layer").isNotNull().alias("carries_text"), "needs_image"
         )
-        for m in ("text+image", "text", "image")
+        for mode in ("text+image", "text", "image")
     ]
-    return f.select("doc_id", "page_no", F.inline(F.array(*modes)))
+    return reduce(DataFrame.unionByName, modes)
 
 
 # --- hints. RE2 has no look-around, so the counterparts cut the text into runs first.

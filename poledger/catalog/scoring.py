@@ -271,14 +271,19 @@ def errors_by_frequency(t):
 
 @query(
     "errors_csv",
-    """SELECT 'PO_' || CAST(doc_id AS VARCHAR) AS doc_id, 'N' AS variant, field, outcome, coalesce(CAST("row" AS VARCHAR), '') AS "row",
-              coalesce(truth, '') AS truth, coalesce(pred, '') AS pred FROM errs""",
+    """SELECT id AS doc_id, variant, field, outcome, coalesce(CAST("row" AS VARCHAR), '') AS "row",
+              coalesce(truth, '') AS truth, coalesce(pred, '') AS pred FROM errs e JOIN manifest m ON m.doc_id = e.doc_id""",
     V,
 )
 def errors_csv(t):
+    """The error file of all run documents, written as CSV and read back."""
+    from poledger.plans.staging import place
     from poledger.sources import runs
 
-    return runs.error_file(run(t).errors).drop("fuzzy")
+    documents = t("manifest").select("doc_id", F.col("id").alias("run_doc"), "variant")
+    path = place(t.spark, "errors-csv")
+    runs.write_errors(run(t).errors.join(documents, "doc_id"), path)
+    return runs.read_errors(t.spark, path).drop("fuzzy")
 
 
 @query(

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from poledger.catalog.registry import query
-from poledger.plans.staging import folder
+from poledger.plans import evaluation
+from poledger.plans.staging import place
+from poledger.refdata import HEADER_FIELDS, HEADER_KIND
 from poledger.sources import runs
 
 
 def _path(t, name: str) -> str:
-    return f"{folder(t.spark)}/poledger-{name}-{uuid.uuid4().hex}"
+    return place(t.spark, name)
 
 
 @query("manifest_scan", "SELECT id, layout, issuer_frequent = 'True' AS frequent, len(string_split(page_kinds, ' ')) AS pages FROM manifest WHERE split = 'dev' AND variant IN ('N', 'S')")
@@ -58,38 +58,106 @@ def records_refused(t):
     return _record_lines(t)[1].groupBy("problem").agg(F.count("*").alias("n"))
 
 
-@query("truth_scan", "SELECT l.doc_id, line_no, description, CAST(taxable_value AS DOUBLE) AS taxable_value FROM po_line l")
-def truth_scan(t):
-    """Truth documents as JSON lines with nested items, read back and exploded."""
+def _truth(t):
     path = _path(t, "truth")
-    t("po_line").withColumn("taxable_value", F.col("taxable_value").cast("string")).select(
-        F.to_json(F.struct("doc_id", "line_no", "description", "taxable_value")).alias("value")
-    ).write.text(path)
-    back = t.spark.read.schema("doc_id bigint, line_no int, description string, taxable_value decimal(18,2)").json(path)
-    return back.withColumn("taxable_value", F.col("taxable_value").cast("double"))
+    runs.truth_lines(t("po_header"), t("po_line")).write.text(path)
+    return runs.read_truth(t.spark, path, lines=True)
+
+
+_NUMBERS = ("quantity", "unit_rate", "discount_pct", "taxable_value", "gst_rate", "cgst_amount", "sgst_amount", "igst_amount", "line_total")
+
+
+@query("truth_scan", "SELECT doc_id, line_no, item_code, description, hsn_sac, uom, CAST(line_delivery_date AS VARCHAR) AS line_delivery_date, "
+       + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _NUMBERS) + " FROM po_line")
+def truth_scan(t):
+    """Line items of truth documents, written as nested JSON and read back."""
+    lines = _truth(t)[1]
+    return lines.select(
+        F.col("id").cast("bigint").alias("doc_id"), "line_no", "item_code", "description", "hsn_sac", "uom", F.col("line_delivery_date").cast("string").alias("line_delivery_date"),
+        *[F.col(c).cast("double").alias(c) for c in _NUMBERS],
+    )
+
+
+@query("truth_headers", "SELECT doc_id, " + ", ".join(f"CAST({f} AS {'DOUBLE' if HEADER_KIND[f] == 'money' else 'VARCHAR'}) AS {f}" for f in HEADER_FIELDS) + " FROM po_header")
+def truth_headers(t):
+    """All header fields of truth documents, written as nested JSON and read back."""
+    head = _truth(t)[0]
+    return head.select(F.col("id").cast("bigint").alias("doc_id"), *[F.col(f).cast("double" if HEADER_KIND[f] == "money" else "string").alias(f) for f in HEADER_FIELDS])
+
 
+def _output_lines(header):
+    """JSON lines of outputs: one per document that has a prediction."""
+    po = F.struct(*HEADER_FIELDS)
+    return header.select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.lit("completed").alias("status"), po.alias("po"))).alias("value"))
 
-@query("outputs_scan", "SELECT r.doc_id, p.doc_id IS NOT NULL AS has_output, buyer_name FROM records r LEFT JOIN pred_header p ON p.doc_id = r.po_id")
+
+@query("outputs_scan", """SELECT r.doc_id, p.doc_id IS NOT NULL AS has_output, buyer_name, po_number, CAST(grand_total AS DOUBLE) AS grand_total, CAST(po_date AS VARCHAR) AS po_date
+       FROM records r LEFT JOIN pred_header p ON p.doc_id = r.po_id""")
 def outputs_scan(t):
     """Outputs by document; a document without one has no prediction."""
     path = _path(t, "outputs")
-    t("pred_header").select(F.to_json(F.struct("doc_id", "buyer_name", F.lit(True).alias("has"))).alias("value")).write.text(path)
-    out = t.spark.read.schema("doc_id bigint, buyer_name string, has boolean").json(path).withColumnRenamed("doc_id", "po_id")
-    return t("records").join(out, "po_id", "left").select("doc_id", F.coalesce("has", F.lit(False)).alias("has_output"), "buyer_name")
-
-
-@query("run_roundtrip", "SELECT doc_id, status, CAST(total_ms AS DOUBLE) AS total_ms FROM records")
+    _output_lines(t("pred_header")).write.text(path)
+    out = runs.read_outputs(t.spark, path, lines=True).select(
+        F.col("doc_id").cast("bigint").alias("po_id"), F.lit(True).alias("has"), "po.buyer_name", "po.po_number",
+        F.col("po.grand_total").cast("double").alias("grand_total"), F.col("po.po_date").cast("string").alias("po_date"),
+    )
+    return t("records").join(out, "po_id", "left").select("doc_id", F.coalesce("has", F.lit(False)).alias("has_output"), "buyer_name", "po_number", "grand_total", "po_date")
+
+
+@query("raw_calls_scan", "SELECT doc_id, call_id, attempt, finish_reason, length(content) AS chars, md5(content) AS content_md5 FROM call_answer")
+def raw_calls_scan(t):
+    """Raw answers written as one JSON document per order, read back a row per call."""
+    path = _path(t, "raw")
+    call = F.struct("call_id", "attempt", F.lit("po-fast").alias("alias"), F.coalesce("request_error", F.lit("ok")).alias("status"), "finish_reason", "content", "reasoning")
+    calls = t("call_answer").groupBy("doc_id").agg(F.array_sort(F.collect_list(call)).alias("calls"))
+    calls.select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "calls")).alias("value")).write.text(path)
+    back = runs.read_raw_calls(t.spark, path, lines=True)
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "call_id", "attempt", "finish_reason", F.length("content").cast("bigint").alias("chars"), F.md5("content").alias("content_md5"))
+
+
+@query("run_roundtrip", """
+    SELECT r.doc_id, status, CAST(total_ms AS DOUBLE) AS total_ms, 'run' AS pipeline, buyer_name FROM records r LEFT JOIN pred_header p ON p.doc_id = r.po_id""")
 def run_roundtrip(t):
+    """A run of three tables, published by one commit, written over once, and read back."""
     root = _path(t, "runs")
-    runs.write_run(t("records"), root, "r1", "records")
-    return runs.read_run(t.spark, root, "r1", "records").select("doc_id", "status", F.col("total_ms").cast("double").alias("total_ms"))
+    tables = {"config": runs.config_row(t.spark, pipeline="run"), "records": t("records").limit(0), "outputs": t("pred_header").limit(0)}
+    runs.write_run(tables, root, "r1")
+    runs.write_run({**tables, "records": t("records"), "outputs": t("pred_header")}, root, "r1", overwrite=True)
+    records, outputs, config = (runs.read_run(t.spark, root, "r1", n) for n in ("records", "outputs", "config"))
+    named = records.join(outputs.select(F.col("doc_id").alias("po_id"), "buyer_name"), "po_id", "left").withColumn("one", F.lit(1))
+    with_config = named.join(config.select(F.lit(1).alias("one"), "pipeline"), "one")
+    return with_config.select("doc_id", "status", F.col("total_ms").cast("double").alias("total_ms"), "pipeline", "buyer_name")
+
+
+@query("oracle_records", "SELECT id AS doc_id, variant, 'completed' AS status, CAST(0 AS DOUBLE) AS total_ms, po_number FROM manifest m JOIN po_header h ON h.doc_id = m.doc_id")
+def oracle_records(t):
+    """The oracle run through the run store: its records and the truth as its outputs."""
+    root = _path(t, "oracle")
+    runs.write_run({"records": evaluation.oracle_run(t("manifest")), "outputs": t("po_header")}, root, "oracle")
+    records, outputs = (runs.read_run(t.spark, root, "oracle", n) for n in ("records", "outputs"))
+    met = records.join(outputs.select(F.col("doc_id").alias("po_id"), "po_number"), "po_id")
+    return met.select("doc_id", "variant", "status", F.col("total_ms").cast("double").alias("total_ms"), "po_number")
+
+
+def _masters(t):
+    root = _path(t, "masters")
+    runs.write_masters(t("master_party"), t("master_item"), t("master_processed"), root)
+    return runs.read_masters(t.spark, root, lines=True)
 
 
 @query("masters_out", "SELECT gstin, name, state_code, role FROM master_party")
 def masters_out(t):
-    root = _path(t, "masters")
-    runs.write_masters(t("master_party"), t("master_item"), t("master_processed"), root)
-    return t.spark.read.schema("gstin string, name string, state_code string, role string").json(f"{root}/parties")
+    return _masters(t)[0].select("gstin", "name", "state_code", "role")
+
+
+@query("masters_read", """SELECT 'item' AS kind, issuer_gstin, item_code AS value FROM master_item
+       UNION ALL SELECT 'number', issuer_gstin, po_number FROM master_processed""")
+def masters_read(t):
+    """Items and processed numbers of master files."""
+    _, items, processed = _masters(t)
+    return items.select(F.lit("item").alias("kind"), "issuer_gstin", F.col("item_code").alias("value")).unionByName(
+        processed.select(F.lit("number").alias("kind"), "issuer_gstin", F.col("po_number").alias("value"))
+    )
 
 
 @query("file_inventory")
