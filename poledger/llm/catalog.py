@@ -76,14 +76,16 @@ WITH d AS (
   FROM w WINDOW b AS (ORDER BY cap / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
   SELECT *, CASE WHEN full_up THEN cap::DOUBLE
-    ELSE (total - sum(CASE WHEN full_up THEN cap ELSE 0 END) OVER ()) * weight / sum(CASE WHEN full_up THEN 0 ELSE weight END) OVER () END AS target,
-    greatest(1, total // {mixing.BLOCKS}) AS block, count(*) OVER () AS n
+    ELSE (total - sum(CASE WHEN full_up THEN cap ELSE 0 END) OVER ()) * weight / sum(CASE WHEN full_up THEN 0 ELSE weight END) OVER () END AS target
   FROM f
-), q AS (
-  SELECT *, unnest(range(0, least(cap // block, ceil(target / block * (1 + 2.0 * n / greatest(1, total // block)))::BIGINT + 2))) AS nth FROM t
-), r AS (
-  SELECT *, row_number() OVER (ORDER BY target / (2 * nth + 1) DESC, no, nth) AS rank FROM q
-), won AS (SELECT no, count(*) * any_value(block) AS won FROM r WHERE rank <= total // block GROUP BY no
+), u AS (
+  SELECT *, greatest(0, floor(target * (1 - 2.0 * count(*) OVER () / greatest(total, 1)))::BIGINT - 2) AS sure,
+    least(cap, ceil(target * (1 + 2.0 * count(*) OVER () / greatest(sum(CASE WHEN target < cap THEN target ELSE 0 END) OVER (), 1)))::BIGINT + 2) AS most
+  FROM t
+), q AS (SELECT *, unnest(range(sure, most)) AS nth FROM u
+), r AS (SELECT *, row_number() OVER (ORDER BY target / (2 * nth + 1) DESC, no, nth) AS rank FROM q
+), won AS (
+  SELECT no, any_value(sure) + count(nth) FILTER (rank <= total - (SELECT sum(sure) FROM u)) AS won FROM u LEFT JOIN r USING (no, sure, total) GROUP BY no
 ), p AS (
   SELECT doc_id, size, source_size, target, coalesce(won, 0) AS won,
     coalesce(sum(size) OVER (PARTITION BY t.no ORDER BY o, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start

@@ -1,13 +1,14 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
 Targets: sources share all words by weight; none gets more than `most` times its own size, and what
-is cut off goes to the others by weight. The words are cut into equal blocks, and the blocks go one
-by one to the source with the highest quotient target / (2k + 1), where k counts the blocks it has.
-The rank of a block also names its shard, so each shard has an integer quota of each source.
-A source that whole blocks cannot serve (a target of a few blocks, or less than a block from its cap)
-takes its target to the word, in a last block of its own size; the others share what is left.
-Which words fill the blocks: the documents of a source stand in a seeded order, and block k takes
-the k-th stretch of that stream, starting over at its end.
+is cut off goes to the others by weight. The mix has as many equal blocks as there are words, of one word
+each, so that no source is too small for them; they go one by one to the source with the highest quotient
+target / (2k + 1), where k counts the blocks it has, up to its cap. Most of a source's blocks are certain
+from its target alone, so only those near the last quotient are listed and ranked: a few for each
+source, whatever the number of words. Blocks deal into shards in turn, which gives each shard an integer quota
+of each source.
+Which words fill the blocks: the documents of a source stand in a seeded order, and its blocks take
+that stream from its start, starting over at its end.
 
 Defined cases: a null text has no words; a null source is a source of its own, the last in order;
 documents without words take nothing; a table without words has targets and shares of 0; equal
@@ -27,8 +28,6 @@ from poledger.plans.staging import settle
 
 WEIGHTS = (5, 2, 1)  # by order of source, repeating
 MOST = 3  # times that a document may be taken
-BLOCKS = 16384  # blocks in the whole mix; also bounds the one sort over blocks
-FEW = 16  # a target of fewer blocks is taken to the word
 SHARDS = 16
 SEED = "mix"
 
@@ -73,48 +72,43 @@ def targets(rows: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOS
     )
 
 
-def seats(goals: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:
-    """One row per block that a source wins: source_no, nth (from 0), shard, block (its words).
+def seats(goals: DataFrame) -> DataFrame:
+    """One row per source: source_no, target, won (its blocks, which are words).
 
-    Sources served to the word have blocks up to their rounded target, the last a partial one. Of
-    the others, each can win at most quota * (1 + sources / blocks * 2) + 2 blocks, so no quotient
-    that could win is left out; all sources together list a few blocks more than there are, and
-    one partial block each."""
+    With k sources, N words and N' of them in sources below their cap, the last quotient is 1 - or +
+    k / 2N' at most, so blocks further than that (here four times as far, and two more) from a target are
+    certainly won or certainly not."""
     whole = Window.partitionBy()
-    sure = (
-        goals.withColumn("size", F.greatest(F.lit(1).cast("long"), F.expr(f"total div {blocks}")))
-        .withColumn("exact", F.expr(f"size > 1 and (target < {FEW} * size or target + size > cap)"))
-        .withColumn("due", F.expr("least(cap, cast(round(target) as long))"))
-        .withColumn("sources", F.sum(F.expr("if(exact, 0, 1)")).over(whole))
-        .withColumn("fair", F.col("target") / F.col("size"))
-        .withColumn("all_blocks", F.expr("total - cast(round(sum(if(exact, target, 0.0D)) over ()) as long)"))
-        .withColumn("all_blocks", F.expr("greatest(all_blocks, 0L) div size"))
-        .withColumn("most", F.expr("least(cap div size, ceil(fair * (1 + 2.0D * sources / greatest(all_blocks, 1L))) + 2)"))
-        .withColumn("most", F.expr("if(exact, (due + size - 1) div size, most)"))
-        .where("most > 0")
-    )
-    each = sure.withColumn("nth", F.explode(F.expr("sequence(0L, most - 1)")))
-    best = Window.orderBy("exact", F.desc("quotient"), "source_no", "nth")
-    ranked = each.withColumn("quotient", F.col("target") / (2 * F.col("nth") + 1)).withColumn("rank", F.row_number().over(best) - 1)
-    return ranked.where("exact or rank < all_blocks").select(
-        "source_no", "nth", (F.col("rank") % shards).cast("int").alias("shard"), F.expr("if(exact, least(size, due - nth * size), size)").alias("block")
+    bounds = (
+        goals.withColumn("sources", F.count("*").over(whole))
+        .withColumn("open", F.sum(F.expr("if(target < cap, target, 0.0D)")).over(whole))
+        .withColumn("sure", F.expr("greatest(0L, cast(floor(target * (1 - 2.0D * sources / greatest(total, 1L))) as long) - 2)"))
+        .withColumn("most", F.expr("least(cap, cast(ceil(target * (1 + 2.0D * sources / greatest(open, 1.0D))) as long) + 2)"))
+        .withColumn("left", F.col("total") - F.sum("sure").over(whole))
     )
+    each = bounds.where("most > sure").withColumn("nth", F.explode(F.expr("sequence(sure, most - 1)")))
+    best = Window.orderBy(F.desc("quotient"), "source_no", "nth")
+    ranked = each.withColumn("quotient", F.col("target") / (2 * F.col("nth") + 1)).withColumn("rank", F.row_number().over(best))
+    near = ranked.where(F.col("rank") <= F.col("left")).groupBy("source_no").agg(F.count("*").alias("near"))
+    return bounds.join(near, "source_no", "left").select("source_no", "target", (F.col("sure") + F.coalesce("near", F.lit(0))).alias("won"))
 
 
-def quotas(blocks: DataFrame) -> DataFrame:
-    """Integer quotas: blocks of each source in each shard, and their words."""
-    return blocks.groupBy("shard", "source_no").agg(F.count("*").alias("blocks"), F.sum("block").alias("words"))
+def quotas(won: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Integer quotas: source_no, shard, words. Blocks in order of sources deal into shards in turn."""
+    by_no = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, 0)
+    placed = won.withColumn("stop", F.sum("won").over(by_no)).withColumn("start", F.col("stop") - F.col("won"))
+    each = placed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    return each.select("source_no", "shard", F.expr(f"(stop - shard + {shards - 1}) div {shards} - (start - shard + {shards - 1}) div {shards}").alias("words"))
 
 
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-    weights: Sequence[float] = WEIGHTS, most: int = MOST, blocks: int = BLOCKS, seed: str = SEED,
+    weights: Sequence[float] = WEIGHTS, most: int = MOST, seed: str = SEED,
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, source, text_crc32."""
     rows = sized(docs, doc_id, text, source, seed)
     goals = settle(targets(rows, weights, most), "targets")
-    won = seats(goals, blocks).groupBy("source_no").agg(F.sum("block").alias("won"))
-    plan = settle(goals.join(won, "source_no", "left").fillna(0, ["won"]).withColumnRenamed("source", "name"), "quotas")
+    plan = settle(goals.join(seats(goals).select("source_no", "won"), "source_no").withColumnRenamed("source", "name"), "quotas")
     joined = rows.join(plan, rows["source"].eqNullSafe(plan["name"])).drop("name")
     placed = starts(joined, "source_no", "order", F.col("size"), ["text_crc32", "size"], "start")
     rest = F.expr("won % greatest(source_size, 1L)")

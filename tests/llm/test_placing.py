@@ -1,14 +1,19 @@
 """Sharding, mixing, decontamination and licences: laws and defined cases."""
 
+import math
+import random
 import re
 import zlib
 from collections import Counter
 from pathlib import Path
 
+import duckdb
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from poledger.llm import decontaminate, licenses, mixing, sharding
+from poledger.llm.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, source string, shard string, copies int, size int"
@@ -18,6 +23,31 @@ def docs_of(spark, rows):
     return spark.createDataFrame([(*r, "s", 1, 2) for r in rows], DOC)
 
 
+def plain_shard(key, weights):
+    """Highest score of the key with each shard, the lower shard on equal ones."""
+    def score(shard):
+        first = xxhash.xxh64_intdigest(f"shards:{shard}".encode(), seed=42)
+        bits = xxhash.xxh64_intdigest(("null" if key is None else str(key)).encode(), seed=first)
+        return -weights[shard] / math.log(((bits >> 11) + 0.5) / 2**53)
+
+    return max((i for i, w in enumerate(weights) if w), key=lambda i: (score(i), -i))
+
+
+def test_shards_equal_a_plain_loop(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = QUERIES["op10_sharding"][0](spark, SF).collect()
+    sizes = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    assert len(got) == len(sizes)
+    for r in got:
+        assert (r.shard, r.grown_shard) == (plain_shard(r.doc_id, [1.0] * 16), plain_shard(r.doc_id, [1.0] * 17))
+        assert r.size == len((sizes[r.doc_id] or "").encode()) + 1 and r.text_crc32 == zlib.crc32((sizes[r.doc_id] or "").encode())
+    for n in range(16):
+        assert sorted(r.slot for r in got if r.shard == n) == list(range(sum(r.shard == n for r in got)))
+    uneven = [0.5, 0.0, 3.0]
+    some = sharding.shard_layout(docs_of(spark, ODD), uneven).collect()
+    assert all(r.shard == plain_shard(r.doc_id, uneven) and r.grown_shard == plain_shard(r.doc_id, [*uneven, 1.0]) for r in some)
+
+
 ODD = [(1, "é b", "x"), (1, "é b", "x"), (2, None, None), (None, "a", "y"), (None, "c", "y"), (3, "", "x"), (4, "w " * 50_000, "y")]
 
 
@@ -75,38 +105,60 @@ def test_mix_reaches_its_targets(spark):
     for r in got:
         assert 0 <= r.taken <= 3 * r.size and abs(r.target - want[r.source]) < 1e-6 * max(1, want[r.source])
         taken[r.source] += r.taken
-    block = max(1, sum(sizes.values()) // mixing.BLOCKS)
-    assert all(abs(taken[s] - want[s]) <= block * len(order) for s in order)
+    assert all(abs(taken[s] - want[s]) <= 1 for s in order)
     again = mixing.mix(docs_of(spark, rows[::-1])).collect()
     key = lambda r: (str(r.doc_id), r.size, r.taken, str(r.source))
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
-def test_seats_are_the_highest_quotients(spark):
-    goals = spark.createDataFrame([(0, 530.0, 10**6, 1000), (1, 240.0, 10**6, 1000), (2, 230.0, 10**6, 1000)], "source_no int, target double, cap long, total long")
-    won = mixing.seats(goals, blocks=100, shards=4)
-    best = sorted(((-t / (2 * k + 1), s) for s, t in enumerate((530.0, 240.0, 230.0)) for k in range(100)))[:100]
-    assert {r.source_no: r.n for r in won.groupBy("source_no").agg(F.count("*").alias("n")).collect()} == Counter(s for _, s in best)
-    assert {r.n for r in mixing.quotas(won).groupBy("shard").agg(F.sum("blocks").alias("n")).collect()} == {25}
-
-
-def test_small_sources_and_caps_are_taken_to_the_word(spark):
+def brute_seats(targets, caps, total):
+    """One block at a time to the highest quotient; the earlier source on equal ones."""
+    won = [0] * len(targets)
+    for _ in range(total):
+        best = max((i for i in range(len(won)) if won[i] < caps[i]), key=lambda i: (targets[i] / (2 * won[i] + 1), -i))
+        won[best] += 1
+    return won
+
+
+@pytest.mark.parametrize("case", ["plain", "capped", "tiny", "equal"])
+def test_seats_are_the_highest_quotients(spark, case):
+    rng = random.Random(case)
+    sizes = {"plain": [530, 240, 230], "capped": [3000, 1, 2, 900, 4], "tiny": [1] * 300 + [2000], "equal": [7] * 9}[case]
+    weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))] if case != "tiny" else [rng.random() for _ in sizes]
+    targets, caps, total = brute_targets(sizes, weights, 3), [3 * n for n in sizes], sum(sizes)
+    goals = spark.createDataFrame([(i, float(t), c, total) for i, (t, c) in enumerate(zip(targets, caps, strict=True))], "source_no int, target double, cap long, total long")
+    won = mixing.seats(goals)
+    assert [r.won for r in won.orderBy("source_no").collect()] == brute_seats(targets, caps, total)
+    parts = mixing.quotas(won, shards=4).collect()
+    by_shard, by_source = Counter(), Counter()
+    for r in parts:
+        by_shard[r.shard] += r.words
+        by_source[r.source_no] += r.words
+    assert max(by_shard.values()) - min(by_shard.values()) <= 1
+    assert {r.source_no: r.won for r in won.collect() if r.won} == {s: n for s, n in by_source.items() if n}
+
+
+def test_small_sources_and_caps_are_taken_to_the_word(spark, tmp_path):
     rows = [(i, "w " * 2500, "ab"[i % 2]) for i in range(120)] + [(200, "v " * 5, "c"), (201, "v " * 4, "d"), (202, "u " * 100, "e")]
-    got = {r.doc_id: r for r in mixing.mix(docs_of(spark, rows)).collect()}
-    assert sum(r.size for r in got.values()) // mixing.BLOCKS == 18
+    docs = docs_of(spark, rows)
+    got = {r.doc_id: r for r in mixing.mix(docs).collect()}
     assert [got[i].taken for i in (200, 201, 202)] == [15, 12, 300]
-    assert Counter(r.doc_id for r in mixing.mixed(docs_of(spark, rows)).where("doc_id >= 200").collect()) == {200: 3, 201: 3, 202: 3}
-    assert 0 <= sum(r.size - r.taken for r in got.values()) < 18
-    assert all(r.taken == r.size for r in mixing.mix(docs_of(spark, rows), most=1).collect())
-
-
-def test_more_sources_than_blocks(spark):
+    assert Counter(r.doc_id for r in mixing.mixed(docs).where("doc_id >= 200").collect()) == {200: 3, 201: 3, 202: 3}
+    assert sum(r.size - r.taken for r in got.values()) == 0
+    assert all(r.taken == r.size for r in mixing.mix(docs, most=1).collect())
+    docs.select("doc_id", "text", "source").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(QUERIES["op4_mixing"][1])
+    names = [d[0] for d in cur.description]
+    want = {(r := dict(zip(names, row, strict=True)))["doc_id"]: (r["size"], r["source_size"], r["target"], r["taken"]) for row in cur.fetchall()}
+    assert {i: (r.size, r.source_size, r.target, r.taken) for i, r in got.items()} == want
+
+
+def test_many_sources(spark):
     rows = [(i, "w " * (20 + i), f"s{i:02}") for i in range(40)]
-    got = mixing.mix(docs_of(spark, rows), blocks=8).collect()
-    assert all(abs(r.taken - r.target) <= 0.5 for r in got)
-    goals = mixing.targets(mixing.sized(docs_of(spark, rows), "doc_id", "text", "source", "s"))
-    words = mixing.quotas(mixing.seats(goals, blocks=8, shards=4)).groupBy("source_no").agg(F.sum("words").alias("n")).collect()
-    assert sorted(r.n for r in words) == sorted(r.taken for r in got)
+    got = mixing.mix(docs_of(spark, rows)).collect()
+    assert all(abs(r.taken - r.target) <= 1 for r in got) and sum(r.taken for r in got) == sum(r.size for r in got)
 
 
 def test_mixed_documents(spark):
