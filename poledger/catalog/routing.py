@@ -16,11 +16,8 @@ from poledger.plans.validation import merged_from
 
 _PLAN = """
     SELECT doc_id, CASE WHEN est > 40 OR ip > 2 THEN 'per_page' ELSE 'two_call' END AS strategy, est AS estimated_rows, ip AS item_pages,
-        'adaptive: ' || CASE WHEN wt > 0 THEN est || ' estimated rows ' || CASE WHEN est > 40 THEN '>' ELSE '<=' END || ' 40'
-            ELSE 'rows unknown (no text layer)' END
-        || ', ' || ip || ' item pages ' || CASE WHEN ip > 2 THEN '>' ELSE '<=' END || ' 2'
-        || CASE WHEN nt > 0 AND wt > 0 THEN ' (' || nt || ' without text, rows unknown)' ELSE '' END
-        || ' -> ' || CASE WHEN est > 40 OR ip > 2 THEN 'per_page' ELSE 'two_call' END AS reason
+        CASE WHEN est > 40 OR ip > 2 THEN 'per_page' ELSE 'two_call' END || ': rows ' || CASE WHEN wt > 0 THEN CAST(est AS VARCHAR) ELSE '?' END || ' of 40'
+            || CASE WHEN nt > 0 AND wt > 0 THEN ' and ' || nt || ' pages unread' ELSE '' END || ', item pages ' || ip || ' of 2' AS reason
     FROM (SELECT r.doc_id, CAST(coalesce(sum(rows), 0) AS BIGINT) AS est, count(rows) AS wt, count(*) - count(rows) AS nt, any_value(ip) AS ip
           FROM page_rows r LEFT JOIN (SELECT doc_id, count(*) AS ip FROM item_pages GROUP BY doc_id) i ON i.doc_id = r.doc_id
           GROUP BY r.doc_id) x"""

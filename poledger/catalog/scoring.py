@@ -383,7 +383,7 @@ def metric_deltas(t):
 )
 def acceptance(t):
     (ref, _), (cand, _) = _sides(t)
-    return scoring.acceptance(ref, cand).drop("reasons")
+    return scoring.acceptance(ref, cand).drop("limits")
 
 
 @query(

@@ -405,20 +405,11 @@ def acceptance(ref: DataFrame, cand: DataFrame) -> DataFrame:
     c, f = (F.col("r_c") - F.col("k_c")) * 100, (F.col("r_f") - F.col("k_f")) * 100
     c_ok, f_ok = c <= 0.5 + 1e-9, f <= 1.0 + 1e-9
 
-    def reason(name: str, drop: Column, ok: Column, limit: str) -> Column:
-        change = F.when(F.abs(drop) < 1e-9, F.lit("unchanged")).when(
-            drop > 0, F.format_string("drops %.2f pp", drop)
-        ).otherwise(F.format_string("rises %.2f pp", -drop))
-        return F.concat(F.lit(f"{name} "), change, F.when(ok, " (within").otherwise(" (exceeds"), F.lit(f" the {limit} pp limit)"))
-
-    both = c_ok & f_ok
+    judged = lambda name, drop, limit, ok: F.struct(F.lit(name).alias("metric"), F.round(drop, 6).alias("drop_pp"), F.lit(limit).alias("limit_pp"), ok.alias("ok"))
     return j.select(
-        F.when(both, "ACCEPT").otherwise("REJECT").alias("verdict"),
+        F.when(c_ok & f_ok, "ACCEPT").otherwise("REJECT").alias("verdict"),
         F.round(c, 6).alias("critical_drop_pp"), F.round(f, 6).alias("field_drop_pp"),
-        F.concat_ws("; ",
-            F.when(both | ~c_ok, reason("critical-doc accuracy", c, c_ok, "0.5")),
-            F.when(both | ~f_ok, reason("field accuracy", f, f_ok, "1")),
-        ).alias("reasons"),
+        F.array(judged("critical_doc_accuracy", c, 0.5, c_ok), judged("field_accuracy", f, 1.0, f_ok)).alias("limits"),
     )
 
 

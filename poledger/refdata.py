@@ -169,6 +169,36 @@ RULES = (
     "schema", "gstin", "tax_regime", "line_arithmetic", "totals", "continuity",
     "amount_in_words", "formats", "grounding", "masters", "duplicate_po",
 )
+# --- Fixed values: the texts of failed checks, with places for what was found -----------------
+PROBLEM_TEXT = {
+    "missing": "{}: missing",
+    "no result": "{}: no result",
+    "row": "{} {}: {}",
+    "gstin": "{}_gstin {} fails the format/checksum",
+    "state code": "{}_state_code {} does not match GSTIN {}",
+    "state": "{}_state '{}' does not match GSTIN state {}",
+    "pan": "{}_pan {} is not a valid PAN",
+    "pan in gstin": "{}_pan {} != PAN in GSTIN {}",
+    "no supply": "cannot tell intra- from inter-state: vendor state or place of supply unknown",
+    "supply": "{}-state supply but {} is not 0",
+    "subtotal": "sum of taxable values {} != subtotal {}",
+    "tax total": "{} of the lines {} != {}_total {}",
+    "grand total": "grand_total {} != components {}",
+    "round off": "round_off {} exceeds 1.00",
+    "words": "words say {}, grand_total is {}",
+    "before": "{} {} is before po_date {}",
+    "after": "quotation_date {} is after po_date",
+    "currency": "unknown currency '{}'",
+    "taxable": "line {}: taxable {} != qty x rate = {}",
+    "line total": "line {}: line_total {} != {}",
+    "hsn": "line {}: HSN/SAC '{}' is not 4-8 digits",
+    "delivery": "line {}: delivery date {} before PO",
+    "party": "{} {} is not in the party master",
+    "item": "line {}: item code {} unknown",
+    "processed": "PO {} was already processed for buyer {}",
+    "not printed": "{} '{}' not in the text layer",
+    "no lines": "no line items",
+}
 PARTIES = ("buyer", "vendor", "bill_to", "ship_to")
 CURRENCIES = (
     "INR", "USD", "EUR", "GBP", "JPY", "CNY", "AED", "SGD", "CHF", "AUD", "CAD", "HKD", "SAR",

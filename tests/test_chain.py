@@ -99,4 +99,4 @@ def test_without_retries(spark, out):
     from poledger.operators import routing
 
     gate = routing.retry_gate(checks, spark.createDataFrame([], "doc_id long, elapsed_s double"), out.retried, max_reasks=0)
-    assert {r.skipped for r in gate.collect()} == {None, "retries disabled (MAX_REASKS=0)"}
+    assert {r.skipped for r in gate.collect()} == {None, "no retries allowed"}
