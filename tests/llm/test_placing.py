@@ -188,12 +188,13 @@ def brute_hits(docs, items, width):
             at = [s for s in range(len(w) - k + 1) if tuple(w[s : s + k]) in windows] if windows else []
             hit |= {p for s in at for p in range(s, s + k)}
             names += [str(name)] if at else []
-        out.append((i, len(w), len(hit), sorted(names)))
+        out.append((i, len(w), len(hit), sorted(set(names))))
     return sorted(out, key=str)
 
 
 def test_contamination_matches_brute_force(spark):
     items = [(1, "the a b c d e f g h i j k l"), (2, "b c É é"), (3, None), (4, "..."), (5, "the the the the the the the the the the the the"), (6, "B, c É é!"), (7, "j k l")]
+    items += [(5, "j k l"), (7, "J k l"), (7, "j k l"), (2, "b c É é")]  # repeated ids, with equal and other texts
     docs = [
         (1, "x the A-b c d, e f g h i j k l m", None), (2, "b c É é b c É é", None), (2, "the", None), (3, None, None), (4, "", None), (5, "the " * 60, None),
         (6, "a b c d e f g h i j k x l", None), (None, "j k l", None), (7, "q " * 3000 + "j k l " * 40, None), (7, "q " * 3000 + "j k l " * 40, None),
