@@ -255,7 +255,7 @@ def latency_summary(t):
     return scoring.latency_summary(t("records"))
 
 
-@query("score_run")
+@query("score_run", _SUMMARY_F1, SV)
 def score_run(t):
     """Everything with full row matching: the group summary of the whole run."""
     return scoring.group_summary(evaluation.with_groups(run(t).docs, t("records"), t("manifest")))

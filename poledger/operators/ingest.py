@@ -118,15 +118,16 @@ def merge_header(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     base = answers.select("doc_id", _by_full_name(F.from_json("answer", "map<string,string>")).alias("m"))
     value = {f: F.try_element_at("m", F.lit(f)) for f in HEADER_FIELDS}
-    cells = {}
+    cells = []
     for f in HEADER_FIELDS:
         c = _cast(HEADER_KIND[f], value[f])
         if f in TAX_TOTALS:
             c = F.when(value[f].isNull(), F.lit(0).cast("decimal(18,2)")).otherwise(c)
-        cells[f] = c.cast(header_sql_type(f)).alias(f)
-    header = base.select("doc_id", *cells.values())
+        cells.append(c.cast(header_sql_type(f)).alias(f))
+    typed = base.select("doc_id", "m", *cells)
+    header = typed.drop("m")
     bad = [
-        F.when(value[f].isNotNull() & _cast(HEADER_KIND[f], value[f]).isNull(),
+        F.when(value[f].isNotNull() & F.col(f).isNull(),
                F.struct(F.lit(f).alias("field"), F.lit(f"not a {HEADER_KIND[f]} value").alias("error")))
         for f in HEADER_FIELDS if HEADER_KIND[f] != "text"
     ]
@@ -134,7 +135,7 @@ def merge_header(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.array_except(F.map_keys("m"), F.array(*[F.lit(f) for f in HEADER_FIELDS])),
         lambda k: F.struct(k.alias("field"), F.lit("unknown field").alias("error")),
     )
-    errors = base.select("doc_id", F.inline(F.concat(F.filter(F.array(*bad), lambda e: e.isNotNull()), unknown)))
+    errors = typed.select("doc_id", F.inline(F.concat(F.filter(F.array(*bad), lambda e: e.isNotNull()), unknown)))
     return header, errors
 
 
