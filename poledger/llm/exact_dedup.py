@@ -62,9 +62,11 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", su
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with all their columns. Repeats of one row (same doc_id, same
-    text) stay once."""
+    text) stay once, the smallest by JSON."""
     kept = exact_groups(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
     own_sha = fresh(docs, "own_sha")
     own = docs.withColumn(own_sha, digest(text))
     stay = own.join(kept, own[doc_id].eqNullSafe(kept["kept_id"]) & (own[own_sha] == kept["kept_sha"]), "left_semi")
-    return stay.dropDuplicates([doc_id, own_sha]).drop(own_sha)
+    row = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    first = stay.groupBy(F.col(doc_id).alias("id"), F.col(own_sha).alias("sha")).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return first.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
