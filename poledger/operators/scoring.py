@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from poledger.functions.fuzzy import token_set_ratio
-from poledger.functions.normal import as_identifier, as_number, as_text, normalise
+from poledger.functions.normal import as_number, normalise
 from poledger.operators import quantiles
+from poledger.operators.pairing import match_by_content
 from poledger.refdata import (
     COMPUTED_HEADER_FIELDS,
     COMPUTED_LINE_COLUMNS,
@@ -25,7 +26,6 @@ from poledger.refdata import (
 )
 
 FUZZY_MIN = 90  # free text counts as fuzzy-correct from here
-ROW_TEXT_MIN = 80  # description similarity that alone makes two rows a pair
 CORRECT = ("correct", "correct_absent")
 ERRORS = ("wrong", "missed", "hallucinated")
 
@@ -101,98 +101,10 @@ def match_by_number(truth: DataFrame, pred: DataFrame) -> DataFrame:
     return t.join(p, ["doc_id", "n"]).select("doc_id", "t_idx", "p_idx")
 
 
-def _row_keys(rows: DataFrame, matched: DataFrame, idx: str, prefix: str) -> DataFrame:
-    left = rows.join(matched.select("doc_id", F.col(idx).alias("idx")), ["doc_id", "idx"], "left_anti")
-    blank = lambda c: F.nullif(c, F.lit(""))
-    return left.select(
-        "doc_id", F.col("idx").alias(idx),
-        blank(as_identifier(F.col("item_code").cast("string"))).alias(f"{prefix}_code"),
-        as_number(F.col("quantity").cast("string")).alias(f"{prefix}_qty"),
-        blank(as_text(F.col("description").cast("string"))).alias(f"{prefix}_text"),
-    )
-
-
-def candidates(truth: DataFrame, pred: DataFrame, matched: DataFrame) -> DataFrame:
-    """(doc_id, t_idx, p_idx, score) of plausible pairs among the rows no number matched.
-
-    Pairs meet on keys they must share: equal code and quantity, or two-letter pieces of the
-    description. A similarity of 80 leaves at most a fifth of the shorter text unshared, so a
-    pair shares the rarest pieces of one side or the other; joining on the document's own
-    pieces keeps unlike rows apart instead of pairing all rows of a document.
-    """
-    t, p = _row_keys(truth, matched, "t_idx", "t"), _row_keys(pred, matched, "p_idx", "p")
-    by_code = t.filter("t_code is not null and t_qty is not null").withColumnsRenamed({"t_code": "code", "t_qty": "qty"}).select(
-        "doc_id", "code", "qty", "t_idx"
-    ).join(
-        p.withColumnsRenamed({"p_code": "code", "p_qty": "qty"}).select("doc_id", "code", "qty", "p_idx"),
-        ["doc_id", "code", "qty"],
-    ).select("doc_id", "t_idx", "p_idx")
-    words = lambda c: F.array_distinct(F.split(c, " "))
-    by_word = (
-        t.select("doc_id", "t_idx", F.explode(words(F.col("t_text"))).alias("word"))
-        .join(p.select("doc_id", "p_idx", F.explode(words(F.col("p_text"))).alias("word")), ["doc_id", "word"])
-        .select("doc_id", "t_idx", "p_idx")
-    )
-    # No common word: the sorted words as one text must still be close, so they share a
-    # two-letter piece; such pairs are only needed where no word is shared.
-    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2))))
-    by_piece = (
-        t.filter("t_text is not null").select("doc_id", "t_idx", F.explode(pieces(F.col("t_text"))).alias("piece"))
-        .join(p.filter("p_text is not null").select("doc_id", "p_idx", F.explode(pieces(F.col("p_text"))).alias("piece")), ["doc_id", "piece"])
-        .select("doc_id", "t_idx", "p_idx")
-    )
-    pairs = by_code.unionByName(by_word).unionByName(by_piece).distinct()
-    full = pairs.join(t, ["doc_id", "t_idx"]).join(p, ["doc_id", "p_idx"])
-    text = F.col("t_text").isNotNull() & F.col("p_text").isNotNull()
-    similarity = F.coalesce(
-        F.when(text & (F.col("t_text") == F.col("p_text")), F.lit(100.0)).otherwise(
-            token_set_ratio(F.when(text, F.col("t_text")), F.when(text, F.col("p_text")))
-        ),
-        F.lit(0.0),
-    )
-    code = F.coalesce(F.col("t_code") == F.col("p_code"), F.lit(False))
-    qty = F.coalesce(F.col("t_qty") == F.col("p_qty"), F.lit(False))
-    return (
-        full.withColumns({"similarity": similarity, "code": code, "qty": qty})
-        .filter((F.col("similarity") >= ROW_TEXT_MIN) | (F.col("code") & F.col("qty")))
-        .select("doc_id", "t_idx", "p_idx",
-                (F.col("code").cast("int") + F.col("qty").cast("int") + F.col("similarity") / 100).alias("score"))
-    )
-
-
-def match_by_content(candidate: DataFrame) -> DataFrame:
-    """Greedy pairs, best score first, then truth and prediction order; each row once.
-
-    A streaming pass over candidates sorted by document and rank: memory holds only the rows
-    already taken in the current document.
-    """
-    import pandas as pd
-
-    def take(batches):
-        doc, truth, pred = None, set(), set()
-        for pdf in batches:
-            out = []
-            for d, t, p in zip(pdf["doc_id"], pdf["t_idx"], pdf["p_idx"]):
-                if d != doc:
-                    doc, truth, pred = d, set(), set()
-                if t not in truth and p not in pred:
-                    truth.add(t)
-                    pred.add(p)
-                    out.append((d, t, p))
-            yield pd.DataFrame(out, columns=["doc_id", "t_idx", "p_idx"])
-
-    return (
-        candidate.repartition("doc_id")
-        .sortWithinPartitions("doc_id", F.desc("score"), "t_idx", "p_idx")
-        .select("doc_id", "t_idx", "p_idx")
-        .mapInPandas(take, ", ".join(f"{c} {candidate.schema[c].dataType.simpleString()}" for c in ("doc_id", "t_idx", "p_idx")))
-    )
-
-
 def match_rows(truth: DataFrame, pred: DataFrame) -> DataFrame:
     """(doc_id, t_idx, p_idx, by_line_no)."""
     numbered = match_by_number(truth, pred)
-    rest = match_by_content(candidates(truth, pred, numbered))
+    rest = match_by_content(truth, pred, numbered)
     return numbered.withColumn("by_line_no", F.lit(True)).unionByName(rest.withColumn("by_line_no", F.lit(False)))
 
 
