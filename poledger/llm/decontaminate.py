@@ -6,7 +6,7 @@
 2. Alignment: each window of a benchmark text is looked up by its rarest terms in the index. Their
    posting lists, each shifted by the term's place in the text, meet on (document, text, shift).
 3. Verification: documents with a surviving shift compare all words of the windows at that shift
-   (phrase), or, with a slop, report windows whose rarest terms stand close to their places (proximity).
+   (phrase), or, with a slop, look for every word of a window close to its place (proximity).
 
 Defined cases: null texts have no words and no hits; a text without words is no window; texts of
 fewer than `width` words are one window; equal benchmark texts are searched once and reported under
@@ -97,9 +97,15 @@ def alignments(index: Index) -> DataFrame:
     return found.join(needs, "seq").where(F.exists("needs", lambda n: F.size(F.array_except(n, F.col("at"))) == 0)).select("doc_id", "sum", "seq", "shift")
 
 
-def near_matches(index: Index, slop: int) -> DataFrame:
-    """(doc_id, sum, seq, start): windows whose rarest terms all stand at most `slop` words away
-    from their places relative to each other."""
+def near_matches(index: Index, docs: DataFrame, slop: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, sum, seq, start): windows whose words all stand at most `slop` words away from their
+    places relative to each other, in any order: for some shift x every word of the window is in the
+    document between x and x + slop words after its place. Each word is looked for by itself, so one
+    word of the document can stand for two equal ones of the window.
+
+    The rarest terms meet in bands of shifts, a band holding 2 * (slop + 1) of them; documents with
+    such a band then compare all words of the window at each shift of the band.
+    """
     band = slop + 1
     met = index.postings.join(index.anchors, "term").select("doc_id", "sum", "seq", (F.col("pos") - F.col("p")).alias("shift"), "p")
     met = met.withColumn("band", F.explode(F.array(F.expr(f"cast(floor(shift / {band}) as long)"), F.expr(f"cast(floor(shift / {band}) as long) + 1"))))
@@ -108,7 +114,24 @@ def near_matches(index: Index, slop: int) -> DataFrame:
         F.collect_list(F.struct("shift", "p")).alias("at")
     )
     close = F.exists("at", lambda x: F.size(F.array_distinct(F.transform(F.filter("at", lambda y: (y["shift"] >= x["shift"]) & (y["shift"] <= x["shift"] + slop)), lambda y: y["p"]))) == F.col("asked"))
-    return tied.where(close).select("doc_id", "sum", "seq", "start").distinct()
+    tries = settle(tied.where(close).select(F.col("doc_id").alias("in_doc"), F.col("sum").alias("in_sum"), "seq", "start", "band"), "near")
+    # one text is read once: its tries travel as one list
+    listed = tries.groupBy("in_doc", "in_sum").agg(F.collect_list(F.struct("seq", "start", "band")).alias("tries"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("sum"), F.col(text).alias("text")).distinct()
+    read = own.join(listed, own["doc_id"].eqNullSafe(listed["in_doc"]) & (own["sum"] == listed["in_sum"]))
+    each = read.select("doc_id", "sum", words(F.col("text")).alias("words"), "tries")
+    each = each.select("doc_id", "sum", "words", F.inline("tries")).join(index.texts.withColumnRenamed("words", "wanted"), "seq")
+
+    def stands(x: Column, i: Column) -> Column:
+        """Whether word i of the text is at most `slop` words after its place at shift x."""
+        first, last = x + i, x + i + slop
+        part = F.slice("words", (F.greatest(first, F.lit(0)) + 1).cast("int"), F.greatest(last - F.greatest(first, F.lit(0)) + 1, F.lit(0)).cast("int"))
+        return F.array_contains(part, F.get("wanted", i))
+
+    shifts = F.sequence((F.col("band") - 1) * band - slop, F.col("band") * band + slop)
+    places = F.sequence(F.col("start"), F.col("start") + F.col("width") - 1)
+    near = F.exists(shifts, lambda x: F.forall(places, lambda i: stands(x, i)))
+    return each.where(near).select("doc_id", "sum", "seq", "start").distinct()
 
 
 def phrase_matches(index: Index, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
