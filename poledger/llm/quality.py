@@ -150,31 +150,35 @@ def learn(rows: Sequence[tuple[int, Sequence[int], Sequence[float], Sequence[flo
     size = BUCKETS + (BINS + 1) * statistics_
     prior = y.mean() if len(y) else 0.5
     rng = np.random.default_rng(7)
-    w, v = np.zeros(size), rng.normal(0, 0.05, (size, FACTORS))
+    # one row for each factor: a step then holds the entries of one factor at a time
+    w, v = np.zeros(size), rng.normal(0, 0.05, (size, FACTORS)).T.copy()
     if not rows or not 0 < prior < 1:
-        return Machine(edges, 35.0 * (2 * prior - 1), w, np.zeros_like(v))
-    blank = Machine(edges, 0.0, w, v)
+        return Machine(edges, 35.0 * (2 * prior - 1), w, np.zeros((size, FACTORS)))
+    blank = Machine(edges, 0.0, w, v.T)
     feats = [blank.features(np.asarray(r[1], np.int64), np.asarray(r[2]), n) for r, n in zip(rows, numbers, strict=True)]
     row = np.repeat(np.arange(len(rows)), [len(a) for a, _ in feats])
     col, x = np.concatenate([a for a, _ in feats]), np.concatenate([b for _, b in feats])
+    del feats
     bias = np.log(prior / (1 - prior))
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (np.zeros(1), w, v)]
     for step in range(1, ROUNDS + 1):
-        vx = v[col] * x[:, None]
-        total = np.stack([np.bincount(row, vx[:, f], len(rows)) for f in range(FACTORS)], 1)
-        square = np.bincount(row, (vx**2).sum(1), len(rows))
-        z = bias + np.bincount(row, w[col] * x, len(rows)) + 0.5 * ((total**2).sum(1) - square)
+        total, square = np.empty((FACTORS, len(rows))), np.zeros(len(rows))
+        for f in range(FACTORS):
+            vx = v[f][col] * x
+            total[f] = np.bincount(row, vx, len(rows))
+            square += np.bincount(row, vx**2, len(rows))
+        z = bias + np.bincount(row, w[col] * x, len(rows)) + 0.5 * ((total**2).sum(0) - square)
         g = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / len(rows)
-        gw = np.bincount(col, g[row] * x, size) + 1e-5 * w
-        inner = (g[row] * x)[:, None] * (total[row] - vx)
-        gv = np.stack([np.bincount(col, inner[:, f], size) for f in range(FACTORS)], 1) + 1e-5 * v
+        gx = g[row] * x
+        gw = np.bincount(col, gx, size) + 1e-5 * w
+        gv = np.stack([np.bincount(col, gx * (total[f][row] - v[f][col] * x), size) for f in range(FACTORS)]) + 1e-5 * v
         moves = []
         for (m, s), grad in zip(state, (np.array([g.sum()]), gw, gv), strict=True):
             m[:] = 0.9 * m + 0.1 * grad
             s[:] = 0.99 * s + 0.01 * grad**2
             moves.append(0.08 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8))
         bias, w, v = bias - moves[0][0], w - moves[1], v - moves[2]
-    return Machine(edges, float(bias), w, v)
+    return Machine(edges, float(bias), w, np.ascontiguousarray(v.T))
 
 
 def fit(
