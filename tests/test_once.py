@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from poledger.operators import ingest, rules
+from poledger.operators import ingest, pages, rules
 from poledger.refdata import HEADER_FIELDS, header_sql_type
 
 
@@ -36,3 +36,22 @@ def test_words_are_read_once(spark, plan_text):
     found = rules.problems(rules.Merged(header, none, none, none, none), ("amount_in_words",))
     assert [(r["doc_id"], r["rule"]) for r in found.collect()] == [(row["doc_id"], "amount_in_words")]
     assert plan_text(found).count("aggregate(") == 1
+def test_first_pages_are_not_shuffled(spark, plan_text):
+    text = "Phone:\n" + "word " * 30
+    given = [(1, 1, text + "\nPhone:"), (1, 2, "98765 43210 and so on " * 1), (2, 1, text + "98765 11111"), (3, 0, "x\nmobile"), (3, 1, "98765 22222 is it")]
+    found = spark.createDataFrame([(d, p, t, True) for d, p, t in given], "doc_id long, page_no int, layer string, kept boolean")
+    got = {(r["doc_id"], r["value"], r["first_page"]) for r in pages.hints(found, ("phone",)).collect()}
+    assert (1, "9876543210", 2) in got and (3, "9876522222", 1) in got
+    plan = pages._with_carry(found.filter("doc_id < 3"))
+    assert "Union" in plan_text(plan) and plan.count() == 3
+
+
+@pytest.mark.parametrize("n", [49, 50, 51])
+def test_kind_by_letters(spark, n):
+    got = pages.page_features(spark.createDataFrame([(1, 1, " -" + "é7"[n % 2] * n + "\n.")], "doc_id long, page_no int, text string")).first()
+    assert got["kind"] == ("native" if n > 50 else "scanned")
+
+
+def test_dense_figures_cost_no_look_behind(spark):
+    """Only a figure that starts a number of a phone's length is looked back from."""
+    assert pages.PHONE.index(pages._NUMBER) < pages.PHONE.index("(?<=(")
