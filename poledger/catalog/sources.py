@@ -11,6 +11,10 @@ from poledger.refdata import HEADER_FIELDS, HEADER_KIND
 from poledger.sources import runs
 
 
+#: Text files of queries are compressed: JSON repeats its keys in every line.
+PACKED = "gzip"
+
+
 def _path(t, name: str) -> str:
     return place(t.spark, name)
 
@@ -19,7 +23,7 @@ def _path(t, name: str) -> str:
 def manifest_scan(t):
     path = _path(t, "manifest")
     m = t("manifest")
-    m.select(*[F.col(c) if c in m.columns else F.lit("").alias(c) for c in runs.MANIFEST_COLUMNS]).write.csv(path, header=True)
+    m.select(*[F.col(c) if c in m.columns else F.lit("").alias(c) for c in runs.MANIFEST_COLUMNS]).write.csv(path, header=True, compression=PACKED)
     back = runs.read_manifest(t.spark, path, "dev", ("N", "S"))
     return back.select("id", "layout", F.col("issuer_frequent").alias("frequent"), F.size("page_kinds").cast("bigint").alias("pages"))
 
@@ -37,7 +41,7 @@ def _record_lines(t):
         .otherwise(good)
     )
     path = _path(t, "records")
-    r.select(line.alias("value")).write.text(path)
+    r.select(line.alias("value")).write.text(path, compression=PACKED)
     return runs.read_records(t.spark, path)
 
 
@@ -60,7 +64,7 @@ def records_refused(t):
 
 def _truth(t):
     path = _path(t, "truth")
-    runs.truth_lines(t("po_header"), t("po_line")).write.text(path)
+    runs.truth_lines(t("po_header"), t("po_line")).write.text(path, compression=PACKED)
     return runs.read_truth(t.spark, path, lines=True)
 
 
@@ -96,7 +100,7 @@ def _output_lines(header):
 def outputs_scan(t):
     """Outputs by document; a document without one has no prediction."""
     path = _path(t, "outputs")
-    _output_lines(t("pred_header")).write.text(path)
+    _output_lines(t("pred_header")).write.text(path, compression=PACKED)
     out = runs.read_outputs(t.spark, path, lines=True).select(
         F.col("doc_id").cast("bigint").alias("po_id"), F.lit(True).alias("has"), "po.buyer_name", "po.po_number",
         F.col("po.grand_total").cast("double").alias("grand_total"), F.col("po.po_date").cast("string").alias("po_date"),
@@ -110,7 +114,7 @@ def raw_calls_scan(t):
     path = _path(t, "raw")
     call = F.struct("call_id", "attempt", F.lit("po-fast").alias("alias"), F.coalesce("request_error", F.lit("ok")).alias("status"), "finish_reason", "content", "reasoning")
     calls = t("call_answer").groupBy("doc_id").agg(F.array_sort(F.collect_list(call)).alias("calls"))
-    calls.select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "calls")).alias("value")).write.text(path)
+    calls.select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "calls")).alias("value")).write.text(path, compression=PACKED)
     back = runs.read_raw_calls(t.spark, path, lines=True)
     return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "call_id", "attempt", "finish_reason", F.length("content").cast("bigint").alias("chars"), F.md5("content").alias("content_md5"))
 
@@ -141,7 +145,7 @@ def oracle_records(t):
 
 def _masters(t):
     root = _path(t, "masters")
-    runs.write_masters(t("master_party"), t("master_item"), t("master_processed"), root)
+    runs.write_masters(t("master_party"), t("master_item"), t("master_processed"), root, compression=PACKED)
     return runs.read_masters(t.spark, root, lines=True)
 
 

@@ -55,3 +55,9 @@ def test_kind_by_letters(spark, n):
 def test_dense_figures_cost_no_look_behind(spark):
     """Only a figure that starts a number of a phone's length is looked back from."""
     assert pages.PHONE.index(pages._NUMBER) < pages.PHONE.index("(?<=(")
+
+def test_text_files_are_compressed(spark):
+    from poledger.catalog import load
+
+    back = load()["truth_headers"].run(spark, "/root/testdata/sf0.001")
+    assert all(name.endswith(".gz") for name in back.inputFiles())
