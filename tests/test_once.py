@@ -61,3 +61,15 @@ def test_text_files_are_compressed(spark):
 
     back = load()["truth_headers"].run(spark, "/root/testdata/sf0.001")
     assert all(name.endswith(".gz") for name in back.inputFiles())
+
+
+def test_short_documents_need_no_seeds(spark, monkeypatch):
+    needles = spark.createDataFrame([(1, "SHORT"), (2, "FARAWAYWORD"), (2, "GONE")], "doc_id long, needle string")
+    b = pages.BREAK
+    stream = spark.createDataFrame(
+        [(1, 1, f"{b}A{b}SHORT{b}"), (2, 1, b + f"FILL{b}" * 1200), (2, 2, f"{b}FARAWAY{b}WORD{b}")], "doc_id long, page_no int, stream string"
+    )
+    seeded, real = [], pages._text_seeds
+    monkeypatch.setattr(pages, "_text_seeds", lambda blocks: seeded.extend(r[0] for r in blocks.select("doc_id").collect()) or real(blocks))
+    assert sorted(map(tuple, pages.search(needles, stream).collect())) == [(1, "SHORT"), (2, "FARAWAYWORD")]
+    assert set(seeded) == {2}
