@@ -104,7 +104,7 @@ def build_masters(t):
 def master_items(t):
     from poledger.sources import runs
 
-    return runs.index_masters(t("master_item"), t("master_processed"))[0]
+    return runs.index_items(t("master_item"))
 
 
 @query(

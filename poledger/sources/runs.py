@@ -155,10 +155,14 @@ def index_masters(items: DataFrame, processed: DataFrame) -> tuple[DataFrame, Da
     from poledger.functions.normal import key_text
 
     by_pan = pan_of(F.col("issuer_gstin")).alias("pan")
-    return (
-        items.select(by_pan, "item_code").distinct(),
-        processed.select(by_pan, key_text(F.col("po_number")).alias("number")).distinct(),
-    )
+    return index_items(items), processed.select(by_pan, key_text(F.col("po_number")).alias("number")).distinct()
+
+
+def index_items(items: DataFrame) -> DataFrame:
+    """Item codes by the PAN inside the GSTIN."""
+    from poledger.functions.gst import pan_of
+
+    return items.select(pan_of(F.col("issuer_gstin")).alias("pan"), "item_code").distinct()
 
 
 def write_masters(parties: DataFrame, items: DataFrame, processed: DataFrame, folder: str,
