@@ -100,3 +100,12 @@ def test_without_retries(spark, out):
 
     gate = routing.retry_gate(checks, spark.createDataFrame([], "doc_id long, elapsed_s double"), out.retried, max_reasks=0)
     assert {r.skipped for r in gate.collect()} == {None, "no retries allowed"}
+
+
+def test_review_queue_counts_the_fields_of_failed_rules(out, monkeypatch):
+    from poledger.catalog import load, routing
+
+    monkeypatch.setattr(routing, "outcome", lambda t: out)
+    got = {r.doc_id: (r.failed_rules, r.failed_fields) for r in load()["review_queue"].build(None).collect()}
+    # a wrong taxable value points at three fields of its line, an order given twice at its number too
+    assert got == {3: ("line_arithmetic", 3), 6: ("line_arithmetic,duplicate_po", 4), 7: ("line_arithmetic", 3)}
